@@ -14,7 +14,7 @@ from quarrylane.session import shared_dir, table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Characters of text that a task holds in decoded form at once (one longer text is held alone).
+#: Bytes of text that a task holds in decoded form at once (one longer text is held alone).
 CHUNK_CHARS = 4_000_000
 
 
@@ -23,8 +23,8 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[list, ...]]:
-    """Column values of consecutive rows, about CHUNK_CHARS of the last column (text) at a time; null text becomes ''.
+def chunks(batches: Iterator[pa.RecordBatch], *columns: str, size: int = CHUNK_CHARS) -> Iterator[tuple[list, ...]]:
+    """Column values of consecutive rows, about `size` bytes of the last column (text) at a time; null text becomes ''.
 
     Until the last is taken, Python's cycle collector rests: it would walk the operators' large tables over and over.
     """
@@ -34,7 +34,7 @@ def chunks(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[l
             start, held, lengths = 0, 0, pc.fill_null(pc.binary_length(batch.column(columns[-1])), 0).to_pylist()
             for i, n in enumerate(lengths, 1):
                 held += n
-                if held >= CHUNK_CHARS or i == len(lengths):
+                if held >= size or i == len(lengths):
                     values = [batch.column(c).slice(start, i - start).to_pylist() for c in columns]
                     values[-1] = [x or "" for x in values[-1]]
                     yield tuple(values)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylane.llm import bpe, exact_dedup, packing, simhash, token_counts
+from quarrylane.llm import bpe, exact_dedup, language_id, packing, simhash, token_counts
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -10,5 +10,6 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op8_packing": packing.op8_packing,
     "op9_simhash": simhash.op9_simhash,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
