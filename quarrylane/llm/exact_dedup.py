@@ -62,26 +62,42 @@ class DigestIndex:
         return rows.join(self.level, "digest")
 
 
-def _place(words: int) -> tuple[Column, Column]:
+def _place(words: int, key: Column) -> tuple[Column, Column]:
     """Where the filter has an id: the word and the bit in it."""
-    h = F.xxhash64("id")
+    h = F.xxhash64(key)
     return F.pmod(h, F.lit(words)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int"))
 
 
 def id_filter(ids: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
     """A one-hash Bloom filter over ids as rows (word, bits): at most `words` rows, whatever the number of ids."""
-    word, bit = _place(words)
+    word, bit = _place(words, F.col("id"))
     return ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
 def may_hold(rows: DataFrame, filt: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
     """Rows (id, ...) that the filter may hold; the filter is broadcast (its size has the bound `words`)."""
-    word, bit = _place(words)
+    word, bit = _place(words, F.col("id"))
     probe = rows.withColumn("_word", word).withColumn("_bit", bit)
     f = F.broadcast(filt.select(F.col("word").alias("_at"), F.col("bits").alias("_bits")))
     return probe.join(f, (F.col("_word") == F.col("_at")) & (F.col("_bit").bitwiseAND(F.col("_bits")) != 0), "left_semi").drop("_word", "_bit")
 
 
+def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose identifier is in dropped (id); null identifiers stay.
+
+    Rows that a bounded filter clears pass where they are; only the rest is shuffled and compared with dropped.
+    """
+    gone = table(dropped.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct())
+    filt = table(id_filter(gone))
+    own = F.col(id_col).cast("long")
+    word, bit = _place(FILTER_WORDS, own)
+    f = F.broadcast(filt.select(F.col("word").alias("_filter_word"), F.col("bits").alias("_filter_bits")))
+    probed = docs.join(f, (word == F.col("_filter_word")) & (bit.bitwiseAND(F.col("_filter_bits")) != 0), "left")
+    clear = probed.where("_filter_word is null").select(*docs.columns)
+    rest = probed.where("_filter_word is not null").join(gone.withColumnRenamed("id", "_gone"), own == F.col("_gone"), "left_anti").select(*docs.columns)
+    return clear.unionByName(rest)
+
+
 def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text", digest=sha) -> DataFrame:
     """Groups of equal texts: a row (doc_id, digest, keep_id, group_size, kept) for each row of docs.
 

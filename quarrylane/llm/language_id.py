@@ -193,6 +193,25 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return done.select(F.col("id").alias(id_col), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text has a language of probability `least` or more; null texts go."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Model | None = held.value
+        for batch in batches:
+            keep: list[bool] = []
+            for (texts,) in chunks(iter([batch]), text_col, size=1_000_000):
+                if own is None:
+                    keep += [False] * len(texts)
+                else:
+                    p, letters = own.probabilities(texts)
+                    keep += (letters & (p.max(axis=1) >= least)).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(id_col: str, mod: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(mod))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarrylane.llm import bpe, exact_dedup, language_id, packing, simhash, token_counts
+from quarrylane.llm import bpe, exact_dedup, language_id, packing, pii, simhash, token_counts
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op7_pii": pii.op7_pii,
     "op8_packing": packing.op8_packing,
     "op9_simhash": simhash.op9_simhash,
     "op10_language_id": language_id.op10_language_id,
