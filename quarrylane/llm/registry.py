@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarrylane.llm import bpe, exact_dedup, language_id, language_model, packing, pii, simhash, token_counts
+from quarrylane.llm import bpe, embedding_dedup, exact_dedup, language_id, language_model, packing, pii, simhash, token_counts
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_language_model": language_model.op6_language_model,
     "op7_pii": pii.op7_pii,
     "op8_packing": packing.op8_packing,
