@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarrylane.llm import bpe, embedding_dedup, exact_dedup, language_id, language_model, packing, pii, simhash, token_counts
+from quarrylane.llm import bpe, embedding_dedup, exact_dedup, language_id, language_model, licenses, packing, pii, simhash, token_counts
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_token_counts": token_counts.op4_token_counts,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_language_id": language_id.op10_language_id,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op1_license_scan": licenses.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE}
