@@ -98,7 +98,7 @@ def c11(spark, sf):
 def c12(spark, sf):
     """The profile's schema, with how many résumés there are to fill it."""
     n = entity(spark, sf, "resumes").agg(F.count("*").alias("resumes"))
-    return n.select(F.lit(schemas.PROFILE.json()).alias("schema"), "resumes")
+    return n.select(F.lit(schemas.profile().json()).alias("schema"), "resumes")
 
 
 @query("c13_struct_merge", "SELECT id, stage, round(score / 100, 4) AS score, stage_no + 1 AS rank FROM applications", A)

@@ -100,7 +100,7 @@ def src12(spark, sf):
     out = None
     for name, own in names.items():
         path = shared_dir(spark)
-        spark.createDataFrame([], schemas.TABLES[name]).write.parquet(path)
+        spark.createDataFrame([], schemas.table_schema(name)).write.parquet(path)
         columns = len(spark.read.parquet(path).columns)
         row = entity(spark, sf, own).agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), F.lit(columns).alias("columns"), "rows")
         out = row if out is None else out.unionByName(row)
