@@ -113,7 +113,7 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
-            a, b = _met(*(t.column(c).to_numpy() for c in ("key", "fp", "node")), distance)
+            a, b = _met(t.column("key").to_numpy(), t.column("fp").to_numpy().view(np.uint64), t.column("node").to_numpy(), distance)
             if len(a):
                 pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
                 yield pa.record_batch({"src": pa.array(pair[:, 0]), "dst": pa.array(pair[:, 1])})
