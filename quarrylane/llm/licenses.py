@@ -86,10 +86,13 @@ _SENTENCE = r"\n|[.!?] +"
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null is empty."""
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    out = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(low, _COPYRIGHT, "$1"), _PUNCTUATION, " "), F.lit(" "))
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(low, _COPYRIGHT, "$1"), _PUNCTUATION, " "), F.lit(" "))
+    out = plain
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(F.regexp_replace(out, " +", " "))
+    # One search for all the spellings: most texts have none and go through as they are.
+    spelled = F.when(plain.rlike(f" ({'|'.join(old for old, _ in SPELLINGS)}) "), out).otherwise(plain)
+    return F.trim(F.regexp_replace(spelled, " +", " "))
 
 
 def canonical_text(text: str) -> str:
