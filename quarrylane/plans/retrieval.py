@@ -6,12 +6,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylane.functions import numeric, text
 
+#: Queries that a vector search broadcasts at once.
+QUERY_BLOCK = 4096
+
 
 def top(df: DataFrame, k: int, by: list[Column], partition: list[str], rank: str = "rank") -> DataFrame:
     """The first k rows of each partition with their rank. `by` has to order fully; Spark cuts groups before the shuffle."""
@@ -29,9 +34,11 @@ class LexicalIndex:
 
 def lexical_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", epsilon: float = 0.25) -> LexicalIndex:
     """Postings and BM25 statistics. Negative idf becomes epsilon times the mean idf over all terms, negative ones too."""
-    tokens = docs.select(F.col(id_col).alias("doc_id"), text.tokens(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    tokens = docs.select(F.col(id_col).alias("doc_id"), text.tokens(F.col(text_col)).alias("tokens"))
+    postings = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    # Totals come from the same shuffle of postings, which Spark reuses: texts are cut into terms once.
+    size = docs.agg(F.count("*").alias("n"))
+    stats = postings.agg(F.sum("tf").alias("total")).crossJoin(F.broadcast(size)).select("n", (F.coalesce("total", F.lit(0)) / F.when(F.col("n") > 0, F.col("n"))).alias("avgdl"))
     raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", numeric.bm25_idf(F.col("df"), F.col("n")).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -55,12 +62,45 @@ def lexical_search(index: LexicalIndex, queries: DataFrame, k: int = 20, id_col:
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     """The k nearest vectors (doc_id, embedding) of each query (query_id, vector) by cosine: (query_id, doc_id, score, rank).
 
-    Exact: every vector meets the stated queries, which are broadcast; norms are computed once a row.
+    Exact, in double precision; vectors of zero length score zero, null ones and those of another length are left out.
+    Each task multiplies its batches with a block of at most QUERY_BLOCK queries and passes on only its own k best of
+    each, so that a shuffle sees partitions x queries x k rows, not all pairs. More queries make more blocks, each a
+    pass over the vectors; what is broadcast keeps its bound.
     """
-    q = F.broadcast(queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).withColumn("qn", numeric.norm(F.col("q"))))
-    v = vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("vn", numeric.norm(F.col("v")))
-    scores = v.crossJoin(q).select("query_id", "doc_id", F.round(numeric.cosine(F.col("q"), F.col("v"), F.col("qn"), F.col("vn")), 9).alias("score"))
-    return top(scores, k, [F.desc("score"), F.asc("doc_id")], ["query_id"])
+    n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    found = [_nearest_of_block(vectors, queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), k) for i in range(blocks)]
+    return top(reduce(DataFrame.unionByName, found), k, [F.desc("score"), F.asc("doc_id")], ["query_id"])
+
+
+def _nearest_of_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Each task's k best vectors for each of the queries."""
+    rows = queries.where("vector is not null").select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).toPandas()
+    dim = max(map(len, rows["vector"]), default=0)
+    rows = rows[rows["vector"].map(len) == dim]
+    ids = rows["query_id"].to_numpy(np.int64)
+    q = np.stack(rows["vector"].to_numpy()) if len(rows) else np.zeros((0, dim))
+    size = np.linalg.norm(q, axis=1, keepdims=True)
+    held = vectors.sparkSession.sparkContext.broadcast((ids, q / np.where(size == 0, 1, size)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = held.value
+        best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+                norm = np.linalg.norm(v, axis=1)
+                score = np.round(q @ v.T / np.where(norm == 0, 1, norm), 9)
+                own = np.broadcast_to(part.column("doc_id").to_numpy(), score.shape)
+                best, best_id = np.concatenate([best, score], axis=1), np.concatenate([best_id, own], axis=1)
+                order = np.lexsort((best_id, -best), axis=1)[:, :k]
+                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
+        if best.size:
+            yield pa.record_batch({"query_id": pa.array(np.repeat(ids, best.shape[1])), "doc_id": pa.array(best_id.reshape(-1)), "score": pa.array(best.reshape(-1))})
+
+    sound = vectors.where(F.size("embedding") == dim) if len(ids) else vectors.limit(0)
+    return sound.select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def fuse(channels: dict[str, DataFrame], k: int = 60) -> DataFrame:

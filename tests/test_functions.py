@@ -65,6 +65,17 @@ def test_vector_search_filters(spark):
         ids(limit=101)
 
 
+def test_dense_search_in_blocks(spark, monkeypatch):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)] + [(90, [0.0, 0.0, 0.0]), (91, None), (92, [1.0])]
+    v = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
+    q = v.where("doc_id < 9").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
+    whole = sorted(retrieval.dense_search(v, q, 7).collect())
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    assert sorted(retrieval.dense_search(v.repartition(5), q, 7).collect()) == whole and len(whole) == 63
+    c = v.where("size(embedding) = 3").crossJoin(q.withColumnRenamed("vector", "w")).select("query_id", "doc_id", F.round(numeric.cosine(F.col("embedding"), F.col("w")), 9).alias("score"))
+    assert sorted(retrieval.top(c, 7, [F.desc("score"), F.asc("doc_id")], ["query_id"]).collect()) == whole
+
+
 def test_empty_corpus_gives_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     vectors = spark.createDataFrame([], "doc_id long, embedding array<float>")
