@@ -193,7 +193,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return done.select(F.col("id").alias(id_col), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text has a language of probability `least` or more; null texts go."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
