@@ -30,8 +30,14 @@ def build(name: str = "quarrylane", cores: str = "*", **conf: str) -> SparkSessi
     return ship(spark)
 
 
+#: Rows that Python workers get at once, where the session has Spark's default: whole texts are long rows.
+BATCH_ROWS = "2000"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it isn't installed on them."""
+    """Let Python workers import this package where it isn't installed on them, and keep their batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     path = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
