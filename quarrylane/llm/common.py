@@ -15,7 +15,7 @@ from quarrylane.session import shared_dir, table
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Bytes of text that a task holds in decoded form at once (one longer text is held alone).
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 
 
 def ascii_lower(col: Column) -> Column:
