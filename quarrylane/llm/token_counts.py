@@ -123,17 +123,21 @@ class Counter:
         return Map(text[: sure[0]], int(self.segments([text[sure[0] : sure[-1]]])[0]), text[sure[-1] :])
 
     def compose(self, a: Map, b: Map) -> Map:
-        """The map of a's chunk followed by b's; associative."""
-        # The end of a and the beginning of b meet: their boundary may be sure only now that both are known.
+        """The map of a's chunk followed by b's; associative.
+
+        Where the two meet, a boundary may be sure only now that both sides are known.
+        """
+        whole = lambda text: int(self.segments([text])[0])
+        if a.tail is not None and b.tail is not None:
+            return Map(a.head, a.count + whole(a.tail + b.head) + b.count, b.tail)
+        met = self.chunk((a.head if a.tail is None else a.tail) + b.head)
         if a.tail is None and b.tail is None:
-            return self.chunk(a.head + b.head)
-        if a.tail is None:
-            met = self.chunk(a.head + b.head)
-            return Map(met.head, met.count + (0 if met.tail is None else int(self.segments([met.tail])[0])) + b.count, b.tail) if met.tail is not None else Map(met.head, b.count, b.tail)
-        if b.tail is None:
-            met = self.chunk(a.tail + b.head)
-            return Map(a.head, a.count, met.head) if met.tail is None else Map(a.head, a.count + int(self.segments([met.head])[0]) + met.count, met.tail)
-        return Map(a.head, a.count + int(self.segments([a.tail + b.head])[0]) + b.count, b.tail)
+            return met
+        if a.tail is None:  # open to the left
+            return Map(met.head, met.count + whole(met.tail or "") + b.count, b.tail)
+        if met.tail is None:  # open to the right
+            return Map(a.head, a.count, met.head)
+        return Map(a.head, a.count + whole(met.head) + met.count, met.tail)
 
     def scan(self, text: str) -> int:
         """The count of a long text by its chunks' maps, combined pairwise."""
