@@ -105,13 +105,16 @@ def successor(values: Packed, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) ->
 
 
 def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of 8 bits and their codebook: means of at most 256 classes of equal count."""
+    """Codes of 8 bits and their codebook: means of at most 256 classes, cut for half by count and for half by distinct values.
+
+    Where most values are the same, cuts by count alone would leave few classes to the others.
+    """
     if not len(values):
         return np.zeros(0, np.uint8), np.zeros(1, np.float32)
     distinct = np.unique(values)
     if len(distinct) <= 256:
         return np.searchsorted(distinct, values).astype(np.uint8), distinct.astype(np.float32)
-    edges = np.unique(np.quantile(values, np.linspace(0, 1, 257)[1:-1]))
+    edges = np.unique(np.concatenate([np.quantile(values, np.linspace(0, 1, 129)[1:-1]), np.quantile(distinct, np.linspace(0, 1, 130)[1:-1])]))
     code = np.searchsorted(edges, values, "left")
     n = np.bincount(code, minlength=len(edges) + 1)
     return code.astype(np.uint8), (np.bincount(code, values, len(edges) + 1) / np.maximum(n, 1)).astype(np.float32)

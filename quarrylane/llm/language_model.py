@@ -1,11 +1,13 @@
 """Operator 6, language-model scoring, over an Elias-Fano n-gram trie.
 
-The model interpolates bigrams with absolute discounting and unigrams with add-one:
-p(w | v) = max(c(v w) - D, 0) / c(v) + g(v) * (c(w) + 1) / (N + V + 1), where pairs seen once are left to g(v), which is
-what keeps the sum at one. The trie's first level has the words (sorted 64-bit hashes, Elias-Fano coded) with their
-counts and quantised g; the second has, behind Elias-Fano pointers that give each word's range, its followers' numbers
-and the quantised first summand. A follower is found by a successor search within its context's range. Levels are cut
-into segments: files in the shared folder, written each by one task and memory-mapped by the tasks that score.
+The model interpolates trigrams and bigrams with absolute discounting and unigrams with add-one:
+p(w | u v) = max(c(u v w) - D, 0) / c(u v) + g(u v) * p(w | v), p(w | v) = max(c(v w) - D, 0) / c(v) + g(v) * p(w) and
+p(w) = (c(w) + 1) / (N + V + 1); every pair and triple of training counts, and g is what keeps each sum at one. The
+trie's first level has the words (sorted 64-bit hashes, Elias-Fano coded) with their counts and quantised g; the second
+has, behind Elias-Fano pointers that give each word's range, its followers' numbers, their counts and the quantised
+first summand; the third the same for each pair, a follower w of u v by its place among the followers of v. A follower
+is found by a successor search within its context's range. Levels are cut into segments: files in the shared folder,
+written each by one task and memory-mapped by the tasks that score.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from pyspark.sql import functions as F
 from quarrylane.llm.common import chunks, shared_dir, table
 from quarrylane.llm.elias_fano import EliasFano, Packed, _pack, dump, load, quantise, successor
 
-DISCOUNT, LEAST_PAIR = 0.75, 2
+DISCOUNT = 0.75
 #: The least number of segments of a level, and the entries of one beyond it.
 SEGMENTS, ENTRIES = 64, 1 << 19
-#: Pairs that a task gathers before it passes them on.
+#: Pairs or triples that a task gathers before it passes them on.
 GATHER = 4_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -123,6 +125,54 @@ def _bits(top: int) -> int:
     return max(1, int(top).bit_length())
 
 
+@dataclass
+class Level:
+    """The segments of pairs or triples, in order: each one's first key, name and number of its first entry."""
+
+    kind: str
+    firsts: np.ndarray
+    names: list[int]
+    offsets: np.ndarray
+
+    def _each(self, key: np.ndarray) -> Iterator[tuple[int, slice, int]]:
+        edges = np.append(np.searchsorted(key, self.firsts), len(key))
+        for k, name in enumerate(self.names):
+            if edges[k] < edges[k + 1]:
+                yield int(self.offsets[k]), slice(edges[k], edges[k + 1]), name
+
+    def find(self, path: str, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (-1: none) and first summands of sorted keys (context << 32 | follower)."""
+        number, out = np.full(len(key), -1), np.zeros(len(key))
+        for offset, own, name in self._each(key):
+            s = _segment(f"{path}/{self.kind}-{name}")
+            context = (key[own] >> np.uint64(32)).astype(np.int64) - s["first"]
+            live = np.flatnonzero(context < s["contexts"])
+            context = context[live]
+            at = successor(s["child"], s["index"].get(context), s["index"].get(context + 1), key[own][live] & np.uint64(0xFFFFFFFF))
+            hit = at >= 0
+            number[own.start + live[hit]] = offset + at[hit]
+            out[own.start + live[hit]] = s["book"][s["code"][at[hit]]]
+        return number, out
+
+    def bases(self, path: str, context: np.ndarray) -> np.ndarray:
+        """For each sorted context a number that none of its entries is below: where its range begins."""
+        out = np.zeros(len(context), np.int64)
+        for offset, own, name in self._each(context << np.uint64(32)):
+            s = _segment(f"{path}/{self.kind}-{name}")
+            out[own] = offset + s["index"].get(np.minimum(context[own].astype(np.int64) - s["first"], s["contexts"])).astype(np.int64)
+        return out
+
+    def counts(self, path: str, number: np.ndarray) -> np.ndarray:
+        """Counts of sorted entry numbers."""
+        out = np.zeros(len(number), np.int64)
+        edges = np.searchsorted(number, self.offsets)
+        for k, name in enumerate(self.names):
+            a, b = edges[k], edges[k + 1]
+            if a < b:
+                out[a:b] = _segment(f"{path}/{self.kind}-{name}")["count"].get(number[a:b] - self.offsets[k]).astype(np.int64)
+        return out
+
+
 @dataclass
 class Model:
     """Where the trie's segments are, and the corpus totals; a few bytes for each segment."""
@@ -134,8 +184,9 @@ class Model:
     distinct: int
     filled: list[int]  # of those, the ones that have words
     with_g: list[int]
-    firsts: np.ndarray | None = None  # of each second-level segment, the first pair
-    names: list[int] | None = None
+    two: Level | None = None
+    three: Level | None = None
+    with_g2: tuple[int, ...] = ()  # blocks of pairs' numbers that have a g
 
     def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers (-1: unknown), counts and g of sorted word hashes."""
@@ -157,22 +208,30 @@ class Model:
 
     def pairs(self, pair: np.ndarray) -> np.ndarray:
         """The first summand of sorted pairs (context << 32 | follower), zero where the trie hasn't one."""
-        out = np.zeros(len(pair))
-        if self.firsts is None or not len(self.firsts):
-            return out
-        edges = np.append(np.searchsorted(pair, self.firsts), len(pair))
-        for k, name in enumerate(self.names):
-            a, b = edges[k], edges[k + 1]
+        return self.two.find(self.path, pair)[1] if self.two else np.zeros(len(pair))
+
+    def chained(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of sorted pairs: numbers (-1: none), places among the first word's followers, first summands."""
+        if not self.two:
+            return np.full(len(pair), -1), np.zeros(len(pair), np.int64), np.zeros(len(pair))
+        number, first = self.two.find(self.path, pair)
+        context, back = np.unique(pair >> np.uint64(32), return_inverse=True)
+        return number, number - self.two.bases(self.path, context)[back], first
+
+    def backoff(self, number: np.ndarray) -> np.ndarray:
+        """g of pairs by their sorted numbers; one where no triple begins with the pair, or there is none (-1)."""
+        out = np.ones(len(number))
+        blocks = np.array(self.with_g2, np.int64)
+        for block, a, b in zip(self.with_g2, np.searchsorted(number, blocks * ENTRIES), np.searchsorted(number, (blocks + 1) * ENTRIES), strict=True):
             if a < b:
-                s = _segment(f"{self.path}/pairs-{name}")
-                context = (pair[a:b] >> np.uint64(32)).astype(np.int64) - s["first"]
-                live = np.flatnonzero(context < s["contexts"])
-                context = context[live]
-                at = successor(s["child"], s["index"].get(context), s["index"].get(context + 1), pair[a:b][live] & np.uint64(0xFFFFFFFF))
-                hit = at >= 0
-                out[a + live[hit]] = s["book"][s["code"][at[hit]]]
+                t = _segment(f"{self.path}/backoff2-{block}")
+                out[a:b] = t["book"][t["code"][number[a:b] - block * ENTRIES]]
         return out
 
+    def triples(self, triple: np.ndarray) -> np.ndarray:
+        """The first summand of sorted triples (pair's number << 32 | follower's place), zero where the trie hasn't one."""
+        return self.three.find(self.path, triple)[1] if self.three else np.zeros(len(triple))
+
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.total + self.distinct + 1))
 
@@ -214,8 +273,31 @@ def _build_words(path: str, parts: int):
     return build
 
 
-def _gather_pairs(model: Model, shards: int):
-    """Pairs of known words with their counts in the task, by shard: sorted, as differences, in bytes."""
+def _pairs(model: Model, seq: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The pair (context << 32 | follower) of each token, all of whose words the model has."""
+    word, inverse = np.unique(seq, return_inverse=True)
+    number = model.words(word)[0].astype(np.uint64)[inverse]
+    context, after = _tokens(seq, counts)
+    return (number[context] << np.uint64(32)) | number[after]
+
+
+def _inner(counts: np.ndarray) -> np.ndarray:
+    """The tokens that have two words (or the beginning and one) before them."""
+    keep = np.ones(int(counts.sum()), bool)
+    keep[np.cumsum(counts) - counts] = False
+    return np.flatnonzero(keep)
+
+
+def _triples(model: Model, seq: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The triple (pair's number << 32 | follower's place) of each token but a text's first."""
+    pair, back = np.unique(_pairs(model, seq, counts), return_inverse=True)
+    number, place, _ = model.chained(pair)
+    j = _inner(counts)
+    return (number[back[j - 1]].astype(np.uint64) << np.uint64(32)) | place[back[j]].astype(np.uint64)
+
+
+def _gather(model: Model, shards: int, keys):
+    """Keys (pairs or triples) with their counts in the task, by shard: sorted, as differences, in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -235,10 +317,7 @@ def _gather_pairs(model: Model, shards: int):
 
         for (texts,) in chunks(batches, "text"):
             seq, counts = sequences(texts)
-            word, inverse = np.unique(seq, return_inverse=True)
-            number = model.words(word)[0].astype(np.uint64)[inverse]
-            context, after = _tokens(seq, counts)
-            held.append((number[context] << np.uint64(32)) | number[after])
+            held.append(keys(model, seq, counts))
             if sum(map(len, held)) > GATHER:
                 yield from flush()
                 held = []
@@ -248,20 +327,16 @@ def _gather_pairs(model: Model, shards: int):
     return run
 
 
-def _merge_pairs(least: int):
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        pairs, counts = [], []
-        for r in group.itertuples():
-            pairs.append(np.cumsum(np.frombuffer(r.step, f"<u{r.wide}"), dtype=np.uint64))
-            n = np.ones(len(pairs[-1]), np.int64)
-            n[np.frombuffer(r.at, "<u4")] = np.frombuffer(r.n, "<u4")
-            counts.append(n)
-        pair, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate(counts), len(pair)).astype(np.int64)
-        pair, n = pair[n >= least], n[n >= least]
-        return pd.DataFrame({"context": (pair >> np.uint64(32)).astype(np.int64), "follower": (pair & np.uint64(0xFFFFFFFF)).astype(np.int64), "n": n})
-
-    return merge
+def _merge(group: pd.DataFrame) -> pd.DataFrame:
+    keys, counts = [], []
+    for r in group.itertuples():
+        keys.append(np.cumsum(np.frombuffer(r.step, f"<u{r.wide}"), dtype=np.uint64))
+        n = np.ones(len(keys[-1]), np.int64)
+        n[np.frombuffer(r.at, "<u4")] = np.frombuffer(r.n, "<u4")
+        counts.append(n)
+    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64)
+    return pd.DataFrame({"context": (key >> np.uint64(32)).astype(np.int64), "follower": (key & np.uint64(0xFFFFFFFF)).astype(np.int64), "n": n})
 
 
 def _context_counts(model: Model, number: np.ndarray) -> np.ndarray:
@@ -274,7 +349,7 @@ def _context_counts(model: Model, number: np.ndarray) -> np.ndarray:
     return out
 
 
-def _build_pairs(model: Model):
+def _build(model: Model, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.record_batch({c: pa.array([], pa.int64()) for c in ("context", "follower", "n")})])
         if not t.num_rows:
@@ -282,12 +357,12 @@ def _build_pairs(model: Model):
         context, follower, n = (t.column(c).to_numpy() for c in ("context", "follower", "n"))
         first = int(context[0])
         pointers = np.searchsorted(context - first, np.arange(int(context[-1]) - first + 2)).astype(np.uint64)
-        code, book = quantise((n - DISCOUNT) / _context_counts(model, context))
-        width = _bits(follower.max())
+        code, book = quantise((n - DISCOUNT) / (model.two.counts(model.path, context) if model.two else _context_counts(model, context)))
+        width, most = _bits(follower.max()), _bits(n.max())
         name = TaskContext.get().partitionId()
-        arrays = EliasFano.encode(pointers) | {"first": first, "contexts": len(pointers) - 1, "child": _pack(follower.astype(np.uint64), width), "child_width": width, "code": code, "book": book}
-        _store(f"{model.path}/pairs-{name}", dump(arrays))
-        yield pa.record_batch({"name": pa.array([name], pa.int32()), "first": pa.array([(first << 32) | int(follower[0])], pa.int64())})
+        arrays = EliasFano.encode(pointers) | {"first": first, "contexts": len(pointers) - 1, "child": _pack(follower.astype(np.uint64), width), "child_width": width, "count": _pack(n.astype(np.uint64), most), "count_width": most, "code": code, "book": book}
+        _store(f"{model.path}/{kind}-{name}", dump(arrays))
+        yield pa.record_batch({"name": pa.array([name], pa.int32()), "first": pa.array([(first << 32) | int(follower[0])], pa.uint64()).view(pa.int64()), "entries": pa.array([len(n)], pa.int64())})
 
     return run
 
@@ -306,6 +381,35 @@ def _build_backoff(model: Model):
     return build
 
 
+def _build_backoff2(model: Model):
+    def build(key, group: pd.DataFrame) -> pd.DataFrame:
+        block = int(key[0])
+        group = group.sort_values("context")
+        g = np.ones(ENTRIES)
+        g[group["context"].to_numpy() - block * ENTRIES] = 1 - group["mass"].to_numpy() / model.two.counts(model.path, group["context"].to_numpy())
+        code, book = quantise(np.maximum(g, 1e-9))
+        _store(f"{model.path}/backoff2-{block}", dump({"code": code, "book": book}))
+        return pd.DataFrame({"block": [block]})
+
+    return build
+
+
+def _level(model: Model, texts: DataFrame, kind: str, keys) -> tuple[Level | None, DataFrame]:
+    """Count the keys of texts and write the level's segments; also rows (context, mass), the discounted counts' sums."""
+    shards = max(SEGMENTS, _power(2 * texts.rdd.getNumPartitions()))
+    gathered = texts.mapInArrow(_gather(model, shards, keys), "shard int, wide int, step binary, at binary, n binary")
+    rows = table(gathered.groupBy("shard").applyInPandas(_merge, "context long, follower long, n long"))
+    many = max(SEGMENTS, _power(-(-rows.count() // ENTRIES)))
+    level = rows.repartitionByRange(many, "context", "follower").sortWithinPartitions("context", "follower")
+    built = level.mapInArrow(_build(model, kind), "name int, first long, entries long").collect()
+    segments = sorted((r["first"] & (1 << 64) - 1, r["name"], r["entries"]) for r in built)
+    offsets = np.concatenate(([0], np.cumsum([n for *_, n in segments], dtype=np.int64)))
+    if offsets[-1] >= 1 << 32:
+        raise ValueError("entries are numbered in 32 bits")
+    found = Level(kind, np.array([f for f, *_ in segments], np.uint64), [n for _, n, _ in segments], offsets) if segments else None
+    return found, rows.groupBy("context").agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
+
+
 def _power(n: int) -> int:
     return 1 << max(0, int(n - 1).bit_length())
 
@@ -323,16 +427,12 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     model = Model(path, _bits(max([r.entries for r in built], default=1)), parts, int(total), int(distinct), sorted(r.part for r in built), [])
     if not distinct:
         return model
-    shards = max(SEGMENTS, _power(2 * texts.rdd.getNumPartitions()))
-    gathered = texts.mapInArrow(_gather_pairs(model, shards), "shard int, wide int, step binary, at binary, n binary")
-    pairs = table(gathered.groupBy("shard").applyInPandas(_merge_pairs(LEAST_PAIR), "context long, follower long, n long"))
-    many = max(SEGMENTS, _power(-(-pairs.count() // ENTRIES)))
-    level = pairs.repartitionByRange(many, "context", "follower").sortWithinPartitions("context", "follower")
-    segments = sorted((r["first"], r["name"]) for r in level.mapInArrow(_build_pairs(model), "name int, first long").collect())
-    model.firsts, model.names = np.array([f for f, _ in segments], np.uint64), [n for _, n in segments]
-    mass = pairs.groupBy("context").agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
+    two, mass = _level(model, texts, "pairs", _pairs)
     backoff = mass.groupBy(F.shiftright("context", model.shift).cast("int").alias("part")).applyInPandas(_build_backoff(model), "part int").collect()
-    model.with_g = sorted(r.part for r in backoff)
+    model.two = two
+    model.three, mass = _level(model, texts, "triples", _triples)
+    backoff2 = mass.groupBy(F.floor(F.col("context") / ENTRIES).cast("int").alias("block")).applyInPandas(_build_backoff2(model), "block int").collect()
+    model.with_g, model.with_g2 = sorted(r.part for r in backoff), tuple(sorted(r.block for r in backoff2))
     return model
 
 
@@ -348,10 +448,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             v, w = inverse[before], inverse[after]
             known = (number[v] >= 0) & (number[w] >= 0)
             pair, back = np.unique((number[v[known]].astype(np.uint64) << np.uint64(32)) | number[w[known]].astype(np.uint64), return_inverse=True)
-            first = np.zeros(len(v))
-            first[known] = model.pairs(pair)[back]
+            found, spot, summand = model.chained(pair)
+            first, at, place = np.zeros(len(v)), np.full(len(v), -1), np.full(len(v), -1)
+            first[known], at[known], place[known] = summand[back], found[back], spot[back]
             base = model.base(count)
-            each = np.log10(first + g[v] * 10.0 ** base[w])
+            chance = first + g[v] * 10.0 ** base[w]
+            j = _inner(counts)
+            j = j[at[j - 1] >= 0]
+            context, back = np.unique(at[j - 1], return_inverse=True)
+            chance[j] *= model.backoff(context)[back]
+            j = j[at[j] >= 0]
+            triple, back = np.unique((at[j - 1].astype(np.uint64) << np.uint64(32)) | place[j].astype(np.uint64), return_inverse=True)
+            chance[j] += model.triples(triple)[back]
+            each = np.log10(chance)
             starts = np.cumsum(counts) - counts
             sums = [np.add.reduceat(x, starts) for x in ((count[w] > 0).astype(np.int64), base[w], each)]
             yield pa.record_batch({"id": pa.array(keys, pa.int64()), "n_tokens": pa.array(counts), "n_known": pa.array(sums[0]), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
