@@ -1,0 +1,31 @@
+import numpy as np
+import pytest
+
+from quarrylane.llm import pii
+from tests.llm.conftest import by_id
+
+
+@pytest.fixture(scope="module")
+def detector(spark):
+    """Learned where half the numbers are national and half the addresses written out, so that no rule takes them."""
+    rng, lines = np.random.default_rng(1), []
+    for k in range(600):
+        parts = [
+            f"write to user{k}@mail{k % 7}.example.com now.", f"mail staff{k} (at) post{k % 5}.example.org today.", f"host 10.{k % 250}.3.{k % 99} is up.",
+            f"call +1 555 {k % 900 + 100} {k % 9000 + 1000} soon.", f"call (555) {k % 800 + 111}-{k * 7 % 9000 + 1000} today.", f"code {k:016d} ok.", f"id {k * 7919 % 10**9} ok.",
+            f"sum {k % 9 + 1},{k % 899 + 300},{k % 799 + 200},555 paid.", f"at 2024-03-{k % 20 + 10} 10 we met.", f"{k} @ 3.50 each.",
+        ]
+        lines.append(" ".join(parts[i] for i in rng.permutation(len(parts))))
+    return pii.train(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+
+
+def test_loose_forms_are_found_where_they_are_many(spark, detector):
+    texts = ["call (555) 123-4567 today", "mail bob.smith (at) mail3.example.com today", "server 2001:db8:85a3:8d3:1319:8a2e:370:7348 is up"]
+    got = by_id(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), detector))
+    assert [got[k].spans for k in range(3)] == ["phone:5:19", "email:5:37", "ip:7:43"]
+
+
+def test_refuted_forms_stay(spark, detector):
+    texts = ["sum 4,567,890,123 paid", "at 2024-03-11 10 we met", "5 @ 3.50 each", "at noon @ home. Then we left", "mac 00:1b:44:11:3a:b7 here", "time 10:30:45:12 now", "code 1234567890123456 ok"]
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), detector).collect()
+    assert [r.spans for r in got] == [""] * len(texts)
