@@ -1,6 +1,6 @@
 """Operator 1, licence scans, by canonical digest lookup. DataFrame operations only.
 
-A text is canonical once A-Z are lower-cased, copyright lines dropped, punctuation and white space made single spaces
+A text is canonical once A-Z are lower-cased, copyright statements dropped, punctuation and white space made single spaces
 and equivalent spellings made one. Known licence texts and notices have known digests; a text's digest is joined with
 them. Looked up are each document's whole text and, for notices that stand in a text, each of its sentences as a whole.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylane.llm.common import LOWER, UPPER
+from quarrylane.llm.common import LOWER, UPPER, ascii_lower
 
 #: Spellings that count as one (the first becomes the second), whole words.
 SPELLINGS = (
@@ -92,7 +92,33 @@ EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT
 USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
 LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED
 OF THE POSSIBILITY OF SUCH DAMAGE."""
-TEXTS |= {"BSD-2-Clause": _CLAUSES + _DISCLAIMER, "BSD-3-Clause": _CLAUSES + _THIRD + _DISCLAIMER}
+_MIT_GRANT, _MIT_REST = TEXTS["MIT"].split(", subject to the following conditions: ", 1)
+TEXTS |= {
+    "BSD-2-Clause": _CLAUSES + _DISCLAIMER,
+    "BSD-3-Clause": _CLAUSES + _THIRD + _DISCLAIMER,
+    "MIT-0": f"{_MIT_GRANT}. {_MIT_REST[_MIT_REST.index('THE SOFTWARE IS') :]}",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software
+dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the
+public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED
+"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE
+USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>""",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or
+organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use,
+reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to
+permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the
+Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be
+included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or
+derivative works are solely in the form of machine-executable object code generated by a source language processor. THE
+SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR
+ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING
+FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+}
 HEADERS = {
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
 the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
@@ -102,43 +128,52 @@ permissions and limitations under the License.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
 distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
-_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public
 License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later
 version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
-warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You
-should have received a copy of the GNU General Public License along with this program. If not, see
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} Public License for more details. You
+should have received a copy of the GNU {} Public License along with this program. If not, see
 <https://www.gnu.org/licenses/>."""
-HEADERS |= {f"GPL-{n}.0": _GPL.format(n) for n in (2, 3)}
+_FAMILY = (("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"))
+HEADERS |= {name: _GPL.format(kind, version, kind, kind) for name, kind, version in _FAMILY}
 #: Titles above full texts.
 TITLES = {
     "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License",), "Zlib": ("zlib License", "The zlib License"),
     "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"), "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"),
     "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License"), "Unlicense": ("The Unlicense",),
 }
-#: Lines that name a copyright's holder, in lower case; and what counts as punctuation or white space.
-_COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Statements that name a copyright's holder, in lower case, to the end of their line or to where a licence's body begins
+#: in it; and what counts as punctuation or white space.
+_BODIES = (
+    "permission is hereby", "permission to use", "redistribution and use", "this software is provided", "this is free and unencumbered",
+    "this program is free", "this source code form", "licensed under the", "released under the", "distributed under the",
+)
+_COPYRIGHT = rf"(^|\n)[ \t]*(?:copyright|\(c\)|©|all rights reserved)(?:[^\n]*?[^0-9a-z\n]({'|'.join(_BODIES)})|[^\n]*)"
 _PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f‘’“”–—…«»]+"
 _SENTENCE = r"\n|[.!?] +"
+_WIDE = [(f" {old} ".replace(" ", "  ")[1:-1], f" {new} ".replace(" ", "  ")[1:-1]) for old, new in SPELLINGS]
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; null is empty."""
-    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(low, _COPYRIGHT, "$1"), _PUNCTUATION, " "), F.lit(" "))
-    out = plain
-    for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
+def canonical(low: Column) -> Column:
+    """The canonical form of a text whose A-Z are lower-cased.
+
+    Spellings are made equal over doubled blanks, so that words that stand side by side don't share one.
+    """
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(low, _COPYRIGHT, "$1$2"), _PUNCTUATION, " "), F.lit(" "))
+    out = F.replace(plain, F.lit(" "), F.lit("  "))
+    for old, new in _WIDE:
+        out = F.replace(out, F.lit(old), F.lit(new))
     # One search for all the spellings: most texts have none and go through as they are.
-    spelled = F.when(plain.rlike(f" ({'|'.join(old for old, _ in SPELLINGS)}) "), out).otherwise(plain)
-    return F.trim(F.regexp_replace(spelled, " +", " "))
+    return F.trim(F.when(plain.rlike(f" ({'|'.join(old for old, _ in SPELLINGS)}) "), F.regexp_replace(out, " +", " ")).otherwise(plain))
 
 
 def canonical_text(text: str) -> str:
     """canonical() for one text in Python, for the table of known texts."""
     low = text.translate(str.maketrans(UPPER, LOWER))
-    out = f" {re.sub(_PUNCTUATION, ' ', re.sub(_COPYRIGHT, lambda m: m[1], low))} "
-    for old, new in SPELLINGS:
-        out = out.replace(f" {old} ", f" {new} ")
+    out = f" {re.sub(_PUNCTUATION, ' ', re.sub(_COPYRIGHT, lambda m: m[1] + (m[2] or ''), low))} ".replace(" ", "  ")
+    for old, new in _WIDE:
+        out = out.replace(old, new)
     return re.sub(" +", " ", out).strip(" ")
 
 
@@ -170,17 +205,21 @@ def license_scan(docs: DataFrame, extra: dict[str, str] | None = None, id_col: s
 
     license_id is that of the whole text (null: none); n_notices counts its sentences that are known texts, notice_ids
     are their licences, sorted, joined by commas (empty: none). Null texts count as empty and match nothing. Rows that
-    repeat an identifier, or have none, share their notices. An empty table gives no rows; other columns are ignored.
+    repeat an identifier, or have none, have each their own result. An empty table gives no rows; other columns are
+    ignored. One pass over the texts; what is shuffled is a digest for each row and each notice.
     """
     table = F.broadcast(known_table(docs.sparkSession, extra))  # a few thousand fixed rows
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    whole = rows.select("id", F.sha2(F.encode(canonical(F.col("text")), "UTF-8"), 256).alias("digest")).join(table, "digest", "left")
-    sentences = rows.select("id", F.explode(F.split(F.coalesce("text", F.lit("")), _SENTENCE)).alias("sentence")).where(F.length("sentence") > 2)
-    hits = sentences.select("id", F.sha2(F.encode(canonical(F.col("sentence")), "UTF-8"), 256).alias("digest")).join(table, "digest")
-    notices = hits.groupBy("id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("ids")).withColumnRenamed("id", "at")
-    return whole.join(notices, F.col("id").eqNullSafe(F.col("at")), "left").select(
-        F.col("id").alias(id_col), "digest", "license_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("ids", F.lit("")).alias("notice_ids")
-    )
+    low = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), low.alias("low"))
+    # Piece 0 is the whole text, the others are its sentences. The join is an outer one: from an inner one Spark would
+    # infer that digests aren't null, and compute each twice to find out.
+    pieces = rows.select("row", "id", F.posexplode(F.concat(F.array("low"), F.split("low", _SENTENCE))).alias("at", "piece")).where((F.col("at") == 0) | (F.length("piece") > 2))
+    found = pieces.select("row", "id", "at", F.sha2(F.encode(canonical(F.col("piece")), "UTF-8"), 256).alias("digest")).join(table, "digest", "left")
+    whole, notice = F.col("at") == 0, F.when(F.col("at") > 0, F.col("license_id"))
+    return found.where(whole | F.col("license_id").isNotNull()).groupBy("row").agg(
+        F.max("id").alias(id_col), F.max(F.when(whole, F.col("digest"))).alias("digest"), F.max(F.when(whole, F.col("license_id"))).alias("license_id"),
+        F.count(notice).alias("n_notices"), F.array_join(F.array_sort(F.collect_set(notice)), ",").alias("notice_ids"),
+    ).drop("row")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,9 +229,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     def sql(text: str) -> str:
-        out = f"' ' || regexp_replace(regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{_COPYRIGHT}', '\\1', 'g'), '{_PUNCTUATION}', ' ', 'g') || ' '"
-        for old, new in SPELLINGS:
-            out = f"replace({out}, ' {old} ', ' {new} ')"
+        out = f"' ' || regexp_replace(regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{_COPYRIGHT}', '\\1\\2', 'g'), '{_PUNCTUATION}', ' ', 'g') || ' '"
+        out = f"replace({out}, ' ', '  ')"
+        for old, new in _WIDE:
+            out = f"replace({out}, '{old}', '{new}')"
         return f"sha256(trim(regexp_replace({out}, ' +', ' ', 'g')))"
 
     values = ", ".join(f"('{d}', '{name}')" for d, name in sorted(known().items()))
