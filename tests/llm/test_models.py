@@ -32,8 +32,9 @@ def slow_model(texts, trained):
     return {k: (len(t), sum(uni[w] > 0 for w in t), n, sum(math.log10(base(w)) for w in t), sum(math.log10(each(a, w)) for a, w in zip([None, *t], t, strict=False))) for k, t in tokens.items()}
 
 
-def test_op6_against_brute_force(spark, sf, texts):
-    got = by_id(language_model.op6_language_model(spark, sf))
+def test_op6_against_brute_force(spark, sf, texts, documents):
+    """Pairs, those seen once left out on request; tests/llm/test_whole_model.py has the whole model of the query."""
+    got = by_id(language_model.score_held_out(documents, order=2, least=2))
     want = slow_model(texts, [k for k in texts if zlib.crc32(str(k).encode()) % 7 != 2])
     for k, (n, known, total, base, score) in want.items():
         r = got[k]
@@ -57,7 +58,7 @@ def test_probabilities_sum_to_one(spark):
     for v, gv in zip(number.tolist(), g.tolist(), strict=True):
         if v < 0:
             continue
-        pair = np.array([(v << 32) | w for w in number.tolist() if w >= 0], np.uint64)
+        pair = np.array([(v << model.bits) | w for w in number.tolist() if w >= 0], np.uint64)
         order = np.argsort(pair)
         first = np.zeros(len(pair))
         first[order] = model.pairs(pair[order])
