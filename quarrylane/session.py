@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,28 +34,49 @@ def build(name: str = "quarrylane", cores: str = "*", **conf: str) -> SparkSessi
 
 #: Rows that Python workers get at once, where the session has Spark's default: whole texts are long rows.
 BATCH_ROWS = "2000"
+_SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it isn't installed on them, and keep their batches small."""
+    """Send this package to the Python workers, wherever they run, and keep their batches small.
+
+    The package goes out once an application, as an archive of its modules. Of the session's settings one is changed: the
+    rows of an Arrow batch, if it has Spark's default.
+    """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    path = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if ROOT not in path.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "quarrylane.zip")  # the driver serves it from here
+        with zipfile.PyZipFile(archive, "w") as out:
+            out.writepy(os.path.join(ROOT, "quarrylane"))
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's address below spark.checkpoint.dir, which all executors share.
+    """A new folder's address below spark.checkpoint.dir, which all executors share, in a folder of this application.
 
-    Only where the session has no such setting (tests, local mode) is a temporary folder taken.
+    Only in local mode, and where the session has no such setting, is a temporary folder taken. clear() removes them all.
     """
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/quarrylane-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's tables in the shared folder: call it once results have been taken, for they read them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(df: DataFrame, path: str | None = None) -> DataFrame:

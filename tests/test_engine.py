@@ -1,14 +1,18 @@
 """Changes, streams, plans and the entry module."""
 
+import os
 import subprocess
 import sys
 
+import pytest
+
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from quarrylane.operators import mutations as M
 from quarrylane.plans import quality
-from quarrylane.session import shared_dir
+from quarrylane.session import clear, shared_dir
+from quarrylane.session import table as written
 from quarrylane.sources import files, schemas
 from quarrylane.sources.entities import entity, table
 from quarrylane.streaming import ingest
@@ -79,3 +83,36 @@ def test_files_and_schemas(spark):
     assert spark.read.option("header", True).csv(folder).columns == ["Stage", "Count"]
     assert "timeline" in schemas.profile().names and len(schemas.table_schema("scoring_audits")) == 18
     assert files.as_json(spark.createDataFrame([(1, "a")], "id long, s string")).first().body == '{"id":1,"s":"a"}'
+
+
+def test_the_package_goes_out_as_an_archive(spark):
+    assert [x for x in spark.sparkContext._python_includes if x.endswith("quarrylane.zip")] == ["quarrylane.zip"]
+    script = "import sys; sys.path.insert(0, sys.argv[1]); import quarrylane.plans.retrieval as r; assert 'quarrylane.zip' in r.__file__"
+    archive = os.path.join(SparkFiles.getRootDirectory(), "quarrylane.zip")
+    assert subprocess.run([sys.executable, "-c", script, archive], cwd="/", check=False).returncode == 0
+
+
+def test_shared_folder_is_asked_for_on_a_cluster_and_cleared():
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "app"
+            getConf = staticmethod(dict)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Cluster)
+    Cluster.conf["spark.checkpoint.dir"] = "hdfs:///work/"
+    assert shared_dir(Cluster).startswith("hdfs:///work/quarrylane-app/")
+
+
+def test_clear_removes_written_tables(spark):
+    df = written(spark.range(3))
+    path = df.inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(path.replace("///", "/"))
+    clear(spark)
+    assert not os.path.exists(path.replace("///", "/"))
