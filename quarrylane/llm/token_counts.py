@@ -1,13 +1,15 @@
 """Operator 4, token counts, by a compiled finite-state tokenizer.
 
 Level one is the pre-token automaton (pretoken.py). Level two is a deterministic transducer over bytes, compiled from
-the merges as texts ask for it: its states are prefixes of pre-tokens, and the transition from a prefix to the next
-carries the change of the number of tokens emitted, so that the outputs along a path add up to the path's count. A
-state knows the last token of its prefix's encoding; the next state's last token is the one token that ends there and
-stays apart from the token before it, which decides the transition without looking at the prefix again.
-
-A chunk of a text becomes a state map: what it has before its first sure boundary, the count between, and what it has
-after the last. Maps compose associatively, so chunks are counted apart and combined pairwise, as in a prefix scan.
+the merges as texts ask for it. After each byte of a pre-token exactly one token can end there and stay apart from the
+token before it. What decides this later are only the starts from which a token may still grow: how far back each lies,
+the token that ends at it and the count there, relative to now. That is a state: it has no more of the past, so that
+all prefixes that agree in it share it, there are finitely many, and a transition carries the change of the number of
+tokens emitted. Outputs along a path add up to the path's count.
+
+A long pre-token is cut into chunks. A chunk is a map from the state before it to the state after it and the count
+between; maps compose associatively. Each chunk is run at once from the state that the bytes before it lead to, maps are
+composed pairwise as in a prefix scan, and a chunk that is entered in another state than was foreseen is run again.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,19 @@ from quarrylane.llm.pretoken import SPACE, classes, split
 
 #: Characters of a chunk.
 CHUNK = 65_536
-#: States that a worker compiles before it starts anew.
-STATES = 400_000
+#: States, and pairs of tokens tried, that a worker remembers before it starts anew.
+STATES = 200_000
+
+
+class State:
+    """Starts from which a token may grow, farthest first: (bytes back, token that ends there, count there less the count
+    now). The farthest one's bytes are the window, what the state knows of the text."""
+
+    __slots__ = ("window", "starts", "after")
+
+    def __init__(self, window: bytes, starts: tuple):
+        self.window, self.starts = window, starts
+        self.after: dict[int, tuple[int, State]] = {}  # byte -> tokens emitted, next state
 
 
 class Transducer:
@@ -44,14 +56,24 @@ class Transducer:
         for k, (a, b) in enumerate(spec["model"]["merges"]):
             self.merges[raw(a), raw(b)] = k
         self.tokens = {a + b for a, b in self.merges} | {bytes([b]) for b in range(256)}
+        self.begun = {token[:k] for token in self.tokens for k in range(1, len(token))}
         self.longest = max(map(len, self.tokens))
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.apart: dict[tuple[bytes, bytes], bool] = {}
+        self.states: dict[tuple, State] = {}
         self._restart()
 
     def _restart(self) -> None:
-        # A state: its count, its last token, its transitions by byte.
-        self.root, self.states = (0, b"", {}), 0
+        for state in self.states.values():  # their cycles would keep them
+            state.after.clear()
+        self.states = {}
+        self.root = self._state(b"", ((0, b"", 0),))
+
+    def _state(self, window: bytes, starts: tuple) -> State:
+        key = (window, starts)
+        if (known := self.states.get(key)) is None:
+            known = self.states[key] = State(window, starts)
+        return known
 
     def _merge(self, parts: list[bytes]) -> list[bytes]:
         """The merges applied to parts, best first."""
@@ -66,37 +88,71 @@ class Transducer:
     def _stay(self, a: bytes, b: bytes) -> bool:
         """Does the text a + b have the encoding [a, b] (b alone, if a is empty)?"""
         if (known := self.apart.get((a, b))) is None:
-            if len(self.apart) >= STATES // 2:
+            if len(self.apart) >= STATES:
                 self.apart.clear()
             known = self.apart[a, b] = self._merge([bytes([x]) for x in a + b]) == [x for x in (a, b) if x]
         return known
 
+    def _compile(self, state: State, byte: int) -> tuple[int, State]:
+        """The transition from a state: only one token can end behind the byte, so the order of trials is free."""
+        if len(self.states) >= STATES:
+            self._restart()
+        window, tokens = state.window + bytes([byte]), self.tokens
+        size = len(window)
+        for back, before, count in state.starts:
+            last = window[size - 1 - back :]
+            if last in tokens and self._stay(before, last):
+                break
+        emitted = count + 1
+        starts = tuple((back + 1, before, count - emitted) for back, before, count in state.starts if window[size - 1 - back :] in self.begun)
+        out = emitted, self._state(window[size - starts[0][0] :] if starts else b"", (*starts, (0, last, 0)))
+        state.after[byte] = out
+        return out
+
+    def run(self, state: State, data: bytes) -> tuple[State, int]:
+        """The state behind data, entered in a state, and the tokens emitted."""
+        total, compiled = 0, self._compile
+        for byte in data:
+            emitted, state = state.after.get(byte) or compiled(state, byte)
+            total += emitted
+        return state, total
+
     def count(self, word: str) -> int:
         """Tokens of one pre-token."""
         data = word.encode()
-        if self.states + len(data) > STATES:
-            self._restart()
-        path, tokens, stay = [state := self.root], self.tokens, self._stay
-        for k, byte in enumerate(data, 1):
-            after = state[2].get(byte)
-            if after is None:  # compile the transition: only one token can end here, so the order of trials is free
-                grown = k - 1 - len(state[1])
-                for j in (grown, *range(k - 1, grown, -1), *range(grown - 1, max(0, k - self.longest) - 1, -1)):
-                    last = data[j:k]
-                    if last in tokens and stay(path[j][1], last):
-                        break
-                after = state[2][byte] = (path[j][0] + 1, last, {})
-                self.states += 1
-            path.append(state := after)
-        return state[0]
+        if len(data) <= CHUNK:
+            return self.run(self.root, data)[1]
+        maps = [Map(self, data[k : k + CHUNK], data[max(0, k - self.longest) : k]) for k in range(0, len(data), CHUNK)]
+        while len(maps) > 1:
+            maps = [Composed(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+        return maps[0](self.root.window, self.root.starts)[2]
+
+
+class Map:
+    """What a chunk does: the state before it (window, starts) -> the state after it and the count between."""
+
+    def __init__(self, transducer: Transducer, data: bytes, before: bytes):
+        self.transducer, self.data, self.known = transducer, data, {}
+        state, _ = transducer.run(transducer.root, before)  # foreseen from the bytes before; mostly it is the right one
+        self(state.window, state.starts)
 
+    def __call__(self, window: bytes, starts: tuple) -> tuple[bytes, tuple, int]:
+        if (window, starts) not in self.known:
+            state, count = self.transducer.run(self.transducer._state(window, starts), self.data)
+            self.known[window, starts] = (state.window, state.starts, count)
+        return self.known[window, starts]
 
-class Map(NamedTuple):
-    """What a chunk does: text before its first sure boundary (all of it if there is none), count, text after the last."""
 
-    head: str
-    count: int
-    tail: str | None  # None: no sure boundary in the chunk
+class Composed:
+    """The map of two chunks, one after the other; associative."""
+
+    def __init__(self, left, right):
+        self.left, self.right = left, right
+
+    def __call__(self, window: bytes, starts: tuple) -> tuple[bytes, tuple, int]:
+        *state, first = self.left(window, starts)
+        *state, second = self.right(*state)
+        return (*state, first + second)
 
 
 class Counter:
@@ -114,38 +170,28 @@ class Counter:
         ends = np.cumsum(counts)
         return total[ends] - total[ends - counts]
 
-    def chunk(self, text: str) -> Map:
-        """The state map of one chunk. Where white space follows something else, a pre-token always begins."""
-        space = classes()[np.frombuffer(text.encode("utf-32-le"), np.uint32)] == SPACE
-        sure = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-        if not len(sure):
-            return Map(text, 0, None)
-        return Map(text[: sure[0]], int(self.segments([text[sure[0] : sure[-1]]])[0]), text[sure[-1] :])
-
-    def compose(self, a: Map, b: Map) -> Map:
-        """The map of a's chunk followed by b's; associative.
-
-        Where the two meet, a boundary may be sure only now that both sides are known.
-        """
-        whole = lambda text: int(self.segments([text])[0])
-        if a.tail is not None and b.tail is not None:
-            return Map(a.head, a.count + whole(a.tail + b.head) + b.count, b.tail)
-        met = self.chunk((a.head if a.tail is None else a.tail) + b.head)
-        if a.tail is None and b.tail is None:
-            return met
-        if a.tail is None:  # open to the left
-            return Map(met.head, met.count + whole(met.tail or "") + b.count, b.tail)
-        if met.tail is None:  # open to the right
-            return Map(a.head, a.count, met.head)
-        return Map(a.head, a.count + whole(met.head) + met.count, met.tail)
-
     def scan(self, text: str) -> int:
-        """The count of a long text by its chunks' maps, combined pairwise."""
-        maps = [self.chunk(text[k : k + CHUNK]) for k in range(0, len(text), CHUNK)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        head, count, tail = maps[0]
-        return count + int(self.segments([head, tail or ""]).sum())
+        """The count of a long text, piece by piece, cut where a pre-token begins whatever is around it: where white space
+        follows something else, or characters of two classes meet (an apostrophe may hold them together)."""
+        total, at, rest = 0, 0, len(text)
+        while at < rest:
+            end = self._cut(text, at + CHUNK)
+            total += int(self.segments([text[at:end]])[0])
+            at = end
+        return total
+
+    def _cut(self, text: str, start: int) -> int:
+        """The first sure boundary from `start` on, or the end; looked for in spans of growing length."""
+        span = CHUNK
+        while start < len(text):
+            part = text[start - 1 : start + span]
+            c = np.frombuffer(part.encode("utf-32-le"), np.uint32)
+            k = classes()[c]
+            sure = (k[1:] != k[:-1]) & (k[:-1] != SPACE) & (c[:-1] != 39)
+            if sure.any():
+                return start + int(np.argmax(sure))
+            start, span = start + span, span * 2
+        return len(text)
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text; special strings in it are one token each, as the library has it by default."""
