@@ -25,28 +25,60 @@ GRAMS = 3
 SAMPLE = 1200
 #: Scale of the relative frequencies, so that features are about one.
 SCALE = 60.0
+#: Characters that are worked on at once.
+PIECE = 1 << 19
 UNKNOWN = "und"
 _MIX = np.uint32(0x9E3779B1)
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Code points of all texts (two NULs behind each), where each text starts, and a feature for each position and n."""
-    lowered = [t.lower() for t in texts]
-    c = np.frombuffer("".join(f"{t}\0\0" for t in lowered).encode("utf-32-le"), np.uint32)
-    starts = np.concatenate(([0], np.cumsum([len(t) + 2 for t in lowered])[:-1]))
-    out, h = [], np.zeros(len(c), np.uint32)
-    for n in range(GRAMS):
-        h = (h ^ np.concatenate((c[n:], np.zeros(n, np.uint32)))) * _MIX
-        h ^= h >> np.uint32(15)
-        out.append((h * _MIX) >> np.uint32(32 - BITS))
-    return c, starts, out
+def _rounds(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Pieces of lower-cased texts, a bounded number of characters at a time.
+
+    Each time: the pieces' texts, where each piece begins, its code points (gaps between pieces are NUL and count as no
+    character) and a feature for each position and n. A long text is cut; its pieces see the characters behind the cut.
+    """
+    owners: list[int] = []
+    parts: list[str] = []
+    sizes: list[int] = []
+    held = 0
+
+    def done() -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        c = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+        starts = np.cumsum([0, *map(len, parts)])[:-1]
+        out, h = [], np.zeros(len(c), np.uint32)
+        for n in range(GRAMS):
+            h = (h ^ np.concatenate((c[n:], np.zeros(n, np.uint32)))) * _MIX
+            h ^= h >> np.uint32(15)
+            out.append((h * _MIX) >> np.uint32(32 - BITS))
+        own = np.arange(len(c)) - np.repeat(starts, list(map(len, parts))) < np.repeat(sizes, list(map(len, parts)))
+        return np.array(owners), starts, np.where(own, c, 0), out
+
+    for k, text in enumerate(texts):
+        low = text.lower()
+        for at in range(0, max(len(low), 1), PIECE):
+            owners.append(k)
+            parts.append(low[at : at + PIECE + GRAMS - 1] + "\0" * (GRAMS - 1))
+            sizes.append(min(PIECE, len(low) - at))
+            held += sizes[-1]
+            if held >= PIECE:
+                yield done()
+                owners, parts, sizes, held = [], [], [], 0
+    if owners:
+        yield done()
 
 
 def _counts(texts: list[str]) -> Iterator[np.ndarray]:
     """For each text the count of every feature."""
-    c, starts, grams = _grams(texts)
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(c)], strict=True):
-        yield np.bincount(np.concatenate([g[a : b - 2] for g in grams]).astype(np.int64), minlength=1 << BITS)
+    at, held = 0, np.zeros(1 << BITS, np.int64)
+    for owners, starts, c, grams in _rounds(texts):
+        for owner, a, b in zip(owners.tolist(), starts.tolist(), [*starts[1:].tolist(), len(c)], strict=True):
+            if owner != at:
+                yield held
+                at, held = owner, np.zeros(1 << BITS, np.int64)
+            own = c[a:b] != 0
+            held += np.bincount(np.concatenate([g[a:b][own] for g in grams]), minlength=1 << BITS)
+    if texts:
+        yield held
 
 
 @dataclass
@@ -55,18 +87,22 @@ class Model:
     table: np.ndarray  # (features, languages) float32: idf * weight * SCALE / GRAMS
     bias: np.ndarray
     temperature: float
-
-    def probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) probabilities, and whether each text has a letter."""
-        c, starts, grams = _grams(texts)
-        total = self.table[grams[0]]
-        for g in grams[1:]:
-            total += self.table[g]
-        total[c == 0] = 0
-        chars = np.maximum(np.diff(np.append(starts, len(c))) - 2, 1)
-        logits = np.add.reduceat(total, starts, axis=0, dtype=np.float64) / chars[:, None] + self.bias
-        letters = np.logical_or.reduceat(classes()[c] == LETTER, starts)
-        return _softmax(logits / self.temperature), letters
+    seen: np.ndarray  # features that some labelled text has
+
+    def probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, languages) probabilities, whether each text has a letter, and its share of features seen in learning."""
+        logits, chars, letters, seen = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), np.zeros(len(texts), bool), np.zeros(len(texts))
+        for owners, starts, c, grams in _rounds(texts):
+            total = self.table[grams[0]]
+            for g in grams[1:]:
+                total += self.table[g]
+            total[c == 0] = 0
+            np.add.at(logits, owners, np.add.reduceat(total, starts, axis=0, dtype=np.float64))
+            np.add.at(chars, owners, np.add.reduceat((c != 0).astype(np.int64), starts))
+            np.add.at(seen, owners, np.add.reduceat(sum(self.seen[g].astype(np.int8) for g in grams) * (c != 0), starts, dtype=np.int64))
+            np.logical_or.at(letters, owners, np.logical_or.reduceat((classes()[c] == LETTER) & (c != 0), starts))
+        chars = np.maximum(chars, 1)
+        return _softmax((logits / chars[:, None] + self.bias) / self.temperature), letters, seen / chars / GRAMS
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -151,7 +187,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     fit = np.flatnonzero(~held)
     w, bias = ftrl([x[i] for i in fit], y[fit], len(languages), 1 << BITS)
     logits = np.array([v @ w[k] + bias for k, v in (x[i] for i in (np.flatnonzero(held) if held.any() else fit))]).reshape(-1, len(languages))
-    return Model(languages, (w * idf[:, None] * SCALE / GRAMS).astype(np.float32), bias, calibrate(logits, y[held] if held.any() else y[fit]))
+    return Model(languages, (w * idf[:, None] * SCALE / GRAMS).astype(np.float32), bias, calibrate(logits, y[held] if held.any() else y[fit]), df > 0)
 
 
 def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -183,7 +219,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                     langs += [UNKNOWN] * len(texts)
                     scores += [0.0] * len(texts)
                     continue
-                p, letters = own.probabilities(texts)
+                p, letters, _ = own.probabilities(texts)
                 best = p.argmax(axis=1)
                 langs += [own.languages[k] if has else UNKNOWN for k, has in zip(best.tolist(), letters.tolist(), strict=True)]
                 scores += np.where(letters, p.max(axis=1), 0.0).tolist()
@@ -193,8 +229,12 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return done.select(F.col("id").alias(id_col), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text has a language of probability `least` or more; null texts go."""
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 1.2, seen: float = 0.6, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text has a language; null and letterless texts go.
+
+    Its probability has to be `least` times that of a blind guess among the languages (or one), and a share of `seen`
+    of its n-grams must occur in labelled texts, which those of unlearned scripts do not.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +245,8 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.3, te
                 if own is None:
                     keep += [False] * len(texts)
                 else:
-                    p, letters = own.probabilities(texts)
-                    keep += (letters & (p.max(axis=1) >= least)).tolist()
+                    p, letters, share = own.probabilities(texts)
+                    keep += (letters & (p.max(axis=1) >= min(1.0, least / len(own.languages)) - 1e-9) & (share >= seen)).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
