@@ -1,8 +1,9 @@
 """Operator 2, exact deduplication, as a log-structured merge index of digests. DataFrame operations only.
 
-A memtable is what one input partition holds: flush() writes each as a run, sorted by digest, with a Bloom filter on
-the digest in the file's footer. compact() merges the runs: a digest keeps one identifier (the smallest, or the largest
-on request) and its count. A digest only proposes: hits are then compared by the bytes of their texts.
+A memtable is what one input partition holds: flush() writes each as a run, sorted by digest, and for the batch a filter
+on its digests. compact() merges the runs: a digest keeps one identifier (the smallest, or the largest on request) and
+its count. lookup() asks the batches' filters before it joins: digests that none may hold pass by without a shuffle. A
+digest only proposes: hits are then compared by the bytes of their texts.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quarrylane.llm.common import ascii_lower, shared_dir, table
 
-#: Bits of the filter over identifiers of hits, as 64-bit words; its broadcast is at most 16 bytes a word.
+#: The most 64-bit words of a filter, whose broadcast is 16 bytes a word; smaller ones have a word for each four keys. One
+#: over more keys than words x 64 clears little and sends more rows to the joins, which decide anyway.
 FILTER_WORDS = 1 << 20
 
 
@@ -36,17 +38,23 @@ class DigestIndex:
         if keep not in ("smallest", "largest"):
             raise ValueError("keep is 'smallest' or 'largest'")
         self.spark, self.path, self.keep, self.runs, self.level = spark, path or shared_dir(spark), keep, 0, None
+        self.made: list[tuple[DataFrame, int]] = []
 
     def flush(self, rows: DataFrame) -> DataFrame:
         """Write rows (digest, id) as sorted runs, one for each partition, without a shuffle; returns them."""
         out = f"{self.path}/level0/batch={self.runs}"
-        (
-            rows.select("digest", "id").sortWithinPartitions("digest").write
-            .option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", 1 << 20).parquet(out)
-        )
+        rows.select("digest", "id").sortWithinPartitions("digest").write.parquet(out)
         self.runs += 1
         return self.spark.read.schema("digest binary, id long").parquet(out)
 
+    def filters(self) -> list[tuple[DataFrame, int]]:
+        """Each batch's filter over its digests, with its words; made once, when it is first asked for."""
+        for k in range(len(self.made), self.runs):
+            run = self.spark.read.schema("digest binary, id long").parquet(f"{self.path}/level0/batch={k}")
+            words = filter_words(run.count())
+            self.made.append((table(id_filter(run.select(F.col("digest").alias("id")), words), f"{self.path}/filter/batch={k}"), words))
+        return self.made
+
     def compact(self) -> DataFrame:
         """Merge all runs and the level before into (digest, keep_id, n); identifiers that are null count but aren't kept."""
         pick = F.min if self.keep == "smallest" else F.max
@@ -54,12 +62,23 @@ class DigestIndex:
         merged = parts[0]
         for part in [*parts[1:], *([self.level] if self.level is not None else [])]:
             merged = merged.unionByName(part)
-        self.level = table(merged.groupBy("digest").agg(pick("keep_id").alias("keep_id"), F.sum("n").alias("n")), f"{self.path}/level1-{self.runs}")
+        self.level = table(merged.groupBy("digest").agg(pick("keep_id").alias("keep_id"), F.sum("n").alias("n")).sortWithinPartitions("digest"), f"{self.path}/level1-{self.runs}")
         return self.level
 
     def lookup(self, rows: DataFrame) -> DataFrame:
-        """Rows (digest, ...) whose digest the compacted level has, with keep_id and n."""
-        return rows.join(self.level, "digest")
+        """Rows (digest, ...) of a new batch whose digest the compacted level has, with keep_id and n."""
+        maybe = rows.withColumn("_maybe", F.lit(False))
+        for filt, words in self.filters():
+            word, bit = _place(words, F.col("digest"))
+            f = F.broadcast(filt.select(F.col("word").alias("_at"), F.col("bits").alias("_bits")))
+            hit = F.col("_maybe") | F.coalesce(bit.bitwiseAND(F.col("_bits")) != 0, F.lit(False))
+            maybe = maybe.join(f, word == F.col("_at"), "left").withColumn("_maybe", hit).drop("_at", "_bits")
+        return maybe.where("_maybe").drop("_maybe").join(self.level, "digest")
+
+
+def filter_words(keys: int) -> int:
+    """Words of a filter over so many keys: a power of two, at most FILTER_WORDS."""
+    return min(FILTER_WORDS, 1 << max(6, (keys // 4).bit_length()))
 
 
 def _place(words: int, key: Column) -> tuple[Column, Column]:
@@ -88,16 +107,25 @@ def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Dat
     Rows that a bounded filter clears pass where they are; only the rest is shuffled and compared with dropped.
     """
     gone = table(dropped.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct())
-    filt = table(id_filter(gone))
+    words = filter_words(gone.count())
+    filt = table(id_filter(gone, words))
     own = F.col(id_col).cast("long")
-    word, bit = _place(FILTER_WORDS, own)
-    f = F.broadcast(filt.select(F.col("word").alias("_filter_word"), F.col("bits").alias("_filter_bits")))
-    probed = docs.join(f, (word == F.col("_filter_word")) & (bit.bitwiseAND(F.col("_filter_bits")) != 0), "left")
-    clear = probed.where("_filter_word is null").select(*docs.columns)
-    rest = probed.where("_filter_word is not null").join(gone.withColumnRenamed("id", "_gone"), own == F.col("_gone"), "left_anti").select(*docs.columns)
+    word, bit = _place(words, own)
+    at, bits, known = (unused(docs, x) for x in ("filter_word", "filter_bits", "gone"))
+    f = F.broadcast(filt.select(F.col("word").alias(at), F.col("bits").alias(bits)))
+    probed = docs.join(f, (word == F.col(at)) & (bit.bitwiseAND(F.col(bits)) != 0), "left")
+    clear = probed.where(F.col(at).isNull()).select(*docs.columns)
+    rest = probed.where(F.col(at).isNotNull()).join(gone.withColumnRenamed("id", known), own == F.col(known), "left_anti").select(*docs.columns)
     return clear.unionByName(rest)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text", digest=sha) -> DataFrame:
     """Groups of equal texts: a row (doc_id, digest, keep_id, group_size, kept) for each row of docs.
 
@@ -112,9 +140,11 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
     runs = index.flush(rows.select("id", F.unhex(digest(F.col("norm"))).alias("digest")))
     level = index.compact()
     # Byte verification: texts of hits only, found by a bounded filter on identifiers and grouped whole.
-    hits = index.lookup(runs).where("n > 1").select("id")
+    repeated = level.where("n > 1")
+    hits = runs.join(repeated, "digest").select("id")
+    words = filter_words(repeated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    suspects = may_hold(raw, table(id_filter(hits))).withColumn("norm", normalised(F.col("text")))
+    suspects = may_hold(raw, table(id_filter(hits, words)), words).withColumn("norm", normalised(F.col("text")))
     pick = F.min if keep == "smallest" else F.max
     texts = suspects.select(F.unhex(digest(F.col("norm"))).alias("digest"), "norm", "id").groupBy("digest", "norm").agg(pick("id").alias("keep_id"), F.count("*").alias("n"))
     distinct = texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
