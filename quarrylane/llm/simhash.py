@@ -22,6 +22,8 @@ from quarrylane.llm.common import chunks, components, table
 SEGMENTS = (22, 21, 21)
 #: Above this many fingerprints under one variant, links are found by search from each unvisited one.
 SMALL = 24
+#: The most fingerprints that meet in one task; where more have a variant in common, blocks of half as many meet two by two.
+HOT = 1 << 17
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -96,7 +98,8 @@ def _met(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, distance: int) ->
 def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     """Links (src, dst) that connect distinct fingerprints (node long, fp long) at `distance` bits or fewer (at most 4).
 
-    Directly or through others, any two such nodes are connected by the result.
+    Directly or through others, any two such nodes are connected by the result. A variant that more than HOT fingerprints
+    have is met in blocks, two by two, so that no task gets more than HOT of them.
     """
     if not 0 <= distance <= 4:
         raise ValueError("the segments serve distances up to 4")
@@ -135,6 +138,15 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
             yield from flush()
 
     keyed = prints.select("node", "fp").mapInArrow(expand, "key long, node long, fp long")
+    if prints.count() > HOT:  # fewer can't share a variant more often
+        hot = table(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
+        if not hot.isEmpty():
+            blocks = F.coalesce(F.ceil(F.col("n") / (HOT // 2)), F.lit(1)).cast("int")
+            own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+            split = keyed.join(hot, "key", "left").withColumn("blocks", blocks).select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            # Meetings that share this hash by chance are one: more is compared, nothing is missed.
+            meeting = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+            keyed = split.select(F.when(F.col("n").isNull(), F.col("key")).otherwise(meeting).alias("key"), "node", "fp")
     return keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(meet, "src long, dst long").distinct()
 
 
