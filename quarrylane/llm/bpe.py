@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +24,8 @@ from quarrylane.llm.pretoken import split
 
 #: Pre-tokens whose encoding a worker remembers, and the longest that it does; then it begins anew.
 CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: The special string of the vocabulary that comes as a rank file too.
+SPECIALS = {"<|endoftext|>": 50256}
 
 
 @lru_cache(1)
@@ -34,14 +37,32 @@ def byte_characters() -> str:
 
 
 def read_ranks(path: str) -> list[bytes]:
-    """Tokens of a rank file in the order of their ranks, which are 0, 1, 2, ..."""
-    with open(path, "rb") as f:
-        pairs = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, f))
+    """Tokens of a rank file, or of a byte-level BPE tokenizer's JSON, in the order of their ranks, which are 0, 1, 2, ..."""
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        apart, to_byte = {x["content"] for x in spec["added_tokens"]}, {c: b for b, c in enumerate(byte_characters())}
+        pairs = sorted((rank, bytes(map(to_byte.__getitem__, token))) for token, rank in spec["model"]["vocab"].items() if token not in apart)
+        merged = [bytes(map(to_byte.__getitem__, "".join(m.split(" ") if isinstance(m, str) else m))) for m in spec["model"]["merges"]]
+        if [token for _, token in pairs[len(pairs) - len(merged) :]] != merged:
+            raise ValueError(f"{path}: merges are not in the order of their ranks")
+    else:
+        with open(path, "rb") as f:
+            pairs = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, f))
     if [rank for rank, _ in pairs] != list(range(len(pairs))):
         raise ValueError(f"{path}: ranks have gaps")
     return [token for _, token in pairs]
 
 
+@lru_cache(2)
+def specials(path: str) -> dict[str, int]:
+    """Special strings and their ids: a tokenizer's own; a rank file has none in it, so that those of SPECIALS count."""
+    if not path.endswith(".json"):
+        return SPECIALS
+    with open(path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+
+
 def serialise(tokens: list[bytes]) -> bytes:
     """A sentencepiece BPE model whose piece k is tokens[k]; an unknown piece follows as the last."""
     from sentencepiece import sentencepiece_model_pb2 as schema

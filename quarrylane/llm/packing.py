@@ -8,6 +8,7 @@ open windows are left over; those of neighbouring partitions are merged, again b
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylane.llm.bpe import encode_packed
+from quarrylane.llm.bpe import encode_packed, specials
 from quarrylane.llm.common import chunks, table
 
 #: Open windows of a partition; the gap from which on an incoming text is cut to fill it; partitions merged together.
 OPEN, WORTH, FAN_IN = 16, 8, 16
-SPECIAL, SPECIAL_ID, END_ID = "<|endoftext|>", 50256, 0
+END_ID = 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, window long, offset long, open boolean"
 
 
@@ -78,12 +79,14 @@ class Packer:
 
 
 def _ids(texts: list[str], path: str) -> Iterator[bytes]:
-    """Each text's ids and the end's id. The special string in a text is its one id, as the library has it by default."""
-    pieces = [text.split(SPECIAL) for text in texts]
-    flat = encode_packed([x for each in pieces for x in each], path)
-    special, end = (np.array([x], "<u4").tobytes() for x in (SPECIAL_ID, END_ID))
-    for each in pieces:
-        yield special.join([next(flat) for _ in each]) + end
+    """Each text's ids and the end's id. A special string in a text is its one id, as the library has it by default."""
+    known = specials(path)
+    cut = re.compile("|".join(map(re.escape, sorted(known, key=len, reverse=True))) or r"(?!)")
+    pieces = [cut.split(text) for text in texts]
+    between = [[np.array([known[m]], "<u4").tobytes() for m in cut.findall(text)] for text in texts]
+    flat, end = encode_packed([x for each in pieces for x in each], path), np.array([END_ID], "<u4").tobytes()
+    for each, marks in zip(pieces, between, strict=True):
+        yield b"".join(x for _, mark in zip(each, [*marks, end], strict=True) for x in (next(flat), mark))
 
 
 def _merge(leftovers: pd.DataFrame, size: int) -> pd.DataFrame:
@@ -107,7 +110,7 @@ def _merge(leftovers: pd.DataFrame, size: int) -> pd.DataFrame:
 def pack(docs: DataFrame, path: str, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one for each piece.
 
-    A document is its token ids by the rank file at `path` and then id 0; each id lies in exactly one piece, pieces of
+    A document is its token ids by the vocabulary at `path` (a tokenizer's JSON or a rank file) and then id 0; each id lies in exactly one piece, pieces of
     a sequence have offsets without gaps from 0 and at most `size` ids together. Null texts count as empty: one piece,
     the end's id. Rows with a null or repeated identifier are packed each. An empty table gives no rows; other columns
     are ignored. The placed pieces are a table in the shared folder, so that a lost executor costs its partitions only.
@@ -140,5 +143,5 @@ def op8_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None)
     if vocabulary is None:
         import public_tokenizers
 
-        vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary)
