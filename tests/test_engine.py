@@ -5,7 +5,7 @@ import subprocess
 import sys
 
 import pytest
-
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 import __spark_entry__
