@@ -99,14 +99,18 @@ def skill_pattern(skill: str) -> str:
 
 
 def found_skills(text: Column) -> Column:
-    """Skills of the catalogue that the text names, in the catalogue's order (none: empty)."""
-    return F.array_compact(F.array(*[F.when(text.rlike(skill_pattern(s)), F.lit(s)) for s in SKILLS]))
+    """Skills of the catalogue that the text names, in the catalogue's order (none: empty).
+
+    A skill is looked for as a word only where its letters stand in the text at all.
+    """
+    lowered = lambda t: F.lower(t)
+    named = lambda t, low: F.array_compact(F.array(*[F.when(low.contains(s.lower()) & t.rlike(skill_pattern(s)), F.lit(s)) for s in SKILLS]))
+    return F.transform(F.array(F.struct(text.alias("t"), lowered(text).alias("low"))), lambda x: named(x["t"], x["low"]))[0]
 
 
 def skills(text: Column) -> Column:
-    """found_skills(), or the default ones."""
-    found = found_skills(text)
-    return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, NO_SKILLS)))
+    """found_skills(), or the default ones. The array is bound once, so that both branches see the same evaluation."""
+    return F.transform(F.array(found_skills(text)), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, NO_SKILLS))))[0]
 
 
 def education(text: Column) -> Column:

@@ -9,10 +9,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylane.functions import numeric, text
+from quarrylane.session import table
 
 #: Queries that a vector search broadcasts at once.
 QUERY_BLOCK = 4096
@@ -25,21 +26,51 @@ def top(df: DataFrame, k: int, by: list[Column], partition: list[str], rank: str
 
 @dataclass
 class LexicalIndex:
-    """An inverted index: postings (doc_id, term, tf, dl), terms (term, idf)."""
+    """An inverted index: postings (doc_id, term, tf, dl), terms (term, df, idf)."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame  # one row: n, avgdl
 
 
-def lexical_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", epsilon: float = 0.25) -> LexicalIndex:
-    """Postings and BM25 statistics. Negative idf becomes epsilon times the mean idf over all terms, negative ones too."""
-    tokens = docs.select(F.col(id_col).alias("doc_id"), text.tokens(F.col(text_col)).alias("tokens"))
-    postings = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    # Totals come from the same shuffle of postings, which Spark reuses: texts are cut into terms once.
-    size = docs.agg(F.count("*").alias("n"))
-    stats = postings.agg(F.sum("tf").alias("total")).crossJoin(F.broadcast(size)).select("n", (F.coalesce("total", F.lit(0)) / F.when(F.col("n") > 0, F.col("n"))).alias("avgdl"))
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", numeric.bm25_idf(F.col("df"), F.col("n")).alias("raw"))
+def postings_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, term, tf, dl), and for each document one without a term. Rows of one doc_id are one document.
+
+    Texts are cut into terms once: from explode() Spark would infer that there are terms, and cut each text again below
+    the projection to find out; from explode_outer() nothing is inferred.
+    """
+    tokens = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text.tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
+    terms = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
+    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def lexical_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", epsilon: float = 0.25, path: str | None = None) -> LexicalIndex:
+    """Postings and BM25 statistics. Negative idf becomes epsilon times the mean idf over all terms, negative ones too.
+
+    Postings are written once (to `path`, or to the shared folder), one scan and one shuffle; all statistics come from
+    them. An index written before is opened by open_index().
+    """
+    written = table(postings_of(docs, id_col, text_col), path)
+    return index_of(written, epsilon)
+
+
+def open_index(spark: SparkSession, path: str, epsilon: float = 0.25) -> LexicalIndex:
+    """An index whose postings were written to `path`."""
+    return index_of(spark.read.parquet(path), epsilon)
+
+
+def extend_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", epsilon: float = 0.25) -> LexicalIndex:
+    """Add documents, none of which the index has, to the postings at `path`: only the new texts are cut into terms."""
+    postings_of(docs, id_col, text_col).write.mode("append").parquet(path)
+    return open_index(docs.sparkSession, path, epsilon)
+
+
+def index_of(written: DataFrame, epsilon: float = 0.25) -> LexicalIndex:
+    """An index over postings as postings_of() makes them."""
+    postings = written.where("term is not null")
+    stats = written.agg(F.count_if(F.col("term").isNull()).alias("n"), F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).alias("total"))
+    stats = stats.select("n", (F.coalesce("total", F.lit(0)) / F.when(F.col("n") > 0, F.col("n"))).alias("avgdl"))
+    raw = table(postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", "avgdl", "n", numeric.bm25_idf(F.col("df"), F.col("n")).alias("raw")))
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     return LexicalIndex(postings, terms, stats)
@@ -47,7 +78,7 @@ def lexical_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def lexical_scores(index: LexicalIndex, queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
     """Positive BM25 scores (query_id, doc_id, score); a term that a query repeats counts again."""
-    wanted = queries.select(F.col(id_col).alias("query_id"), F.explode(text.tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    wanted = queries.select(F.col(id_col).alias("query_id"), F.explode_outer(text.tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     weight = numeric.bm25_weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))
     hits = wanted.join(index.terms, "term").join(index.postings, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(weight * F.col("qtf")).alias("score")).where("score > 0")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quarrylane.operators import mutations as M
-from quarrylane.plans import quality
+from quarrylane.plans import quality, retrieval
 from quarrylane.session import clear, shared_dir
 from quarrylane.session import table as written
 from quarrylane.sources import files, schemas
@@ -116,3 +116,24 @@ def test_clear_removes_written_tables(spark):
     assert os.path.exists(path.replace("///", "/"))
     clear(spark)
     assert not os.path.exists(path.replace("///", "/"))
+
+
+def test_texts_are_cut_into_terms_once(spark, sf):
+    docs = table(spark, sf, "documents")
+    assert retrieval.postings_of(docs)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    index = retrieval.lexical_index(docs)
+    queries = docs.limit(3).select(F.col("doc_id").alias("query_id"), "text")
+    scores = retrieval.lexical_scores(index, queries)._jdf.queryExecution().optimizedPlan().toString()
+    assert scores.count("regexp_extract_all") == 1  # the queries' own
+
+
+def test_an_index_grows_by_new_documents(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "the of")], "doc_id long, text string"))
+    path = shared_dir(spark)
+    whole = retrieval.lexical_index(docs)
+    retrieval.lexical_index(docs.where("doc_id % 2 = 0"), path=path)
+    grown = retrieval.extend_index(docs.where("doc_id % 2 <> 0"), path)
+    assert whole.stats.collect() == grown.stats.collect() and whole.stats.first().n == docs.count()
+    rounded = lambda index: sorted(map(tuple, index.terms.select("term", "df", F.round("idf", 9)).collect()))
+    assert rounded(whole) == rounded(grown)
+    assert whole.postings.count() == retrieval.open_index(spark, path).postings.count()
