@@ -23,7 +23,7 @@ from quarrylane.llm.common import chunks
 from quarrylane.llm.pretoken import split
 
 #: Pre-tokens whose encoding a worker remembers, and the longest that it does; then it begins anew.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 250_000, 64
 #: The special string of the vocabulary that comes as a rank file too.
 SPECIALS = {"<|endoftext|>": 50256}
 
