@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.llm.common import ascii_lower, shared_dir, table
 
-#: The most 64-bit words of a filter, whose broadcast is 16 bytes a word; smaller ones have a word for each four keys. One
+#: The most 64-bit words of a filter, whose broadcast is 16 bytes a word; smaller ones have a word or two for each key. One
 #: over more keys than words x 64 clears little and sends more rows to the joins, which decide anyway.
 FILTER_WORDS = 1 << 20
 
@@ -78,7 +78,7 @@ class DigestIndex:
 
 def filter_words(keys: int) -> int:
     """Words of a filter over so many keys: a power of two, at most FILTER_WORDS."""
-    return min(FILTER_WORDS, 1 << max(6, (keys // 4).bit_length()))
+    return min(FILTER_WORDS, 1 << max(6, keys.bit_length()))
 
 
 def _place(words: int, key: Column) -> tuple[Column, Column]:
