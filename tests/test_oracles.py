@@ -48,4 +48,4 @@ def test_query_is_its_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+    assert len(QUERIES[name](spark, SF).collect()) > 0  # count() would let Spark leave columns out
