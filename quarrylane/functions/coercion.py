@@ -42,8 +42,9 @@ ALIASES = {
     "total_continuous_years": ("total_continuous_years", "total_years", "years_of_experience", "total_experience_years"),
     "positions": ("positions", "experiences", "work_history", "jobs"),
     "career_gaps": ("career_gaps", "gaps"),
-    "skill_name": ("name", "skill", "skill_name"),
-    "proficiency": ("proficiency", "level"),
+    "skill_name": ("name", "skill", "skill_name", "title"),
+    "proficiency": ("proficiency", "level", "proficiency_level"),
+    "context_evidence": ("context_evidence", "evidence", "details"),
 }
 #: Categories, and the words by which free text is taken for one (first match; else the last column).
 SKILL_CATEGORIES = (

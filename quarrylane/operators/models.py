@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,15 @@ def terms(text: str) -> list[str]:
     return [t for t in _TOKEN.findall(text.lower()) if len(t) > 1 and t not in _STOP]
 
 
+@lru_cache(maxsize=1 << 16)
+def _hashed(term: str) -> int:
+    """FNV-1a of 64 bits; kept for the terms that come often."""
+    h = 14695981039346656037
+    for byte in term.encode():
+        h = (h ^ byte) * 1099511628211 % (1 << 64)
+    return h
+
+
 class HashingEmbedder:
     """Signed feature hashing of terms to unit vectors; the same on every machine."""
 
@@ -33,9 +43,7 @@ class HashingEmbedder:
         out = np.zeros((len(texts), self.dimension))
         for row, text in zip(out, texts, strict=True):
             for term in terms(text):
-                h = 14695981039346656037
-                for byte in term.encode():
-                    h = (h ^ byte) * 1099511628211 % (1 << 64)
+                h = _hashed(term)
                 row[h % self.dimension] += 1 if h >> 63 else -1
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return list(out / np.where(size == 0, 1, size))

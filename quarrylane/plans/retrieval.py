@@ -163,8 +163,12 @@ def format_candidate(row_text: Column, headline: Column, years: Column, skills:
 
 def overlap_logit(query: Column, passage: Column) -> Column:
     """The offline stand-in for a cross-encoder: the share of the query's terms that the passage has, as a logit of -4 to 4."""
-    terms = F.array_distinct(text.tokens(query))
-    shared = F.size(F.array_intersect(terms, F.array_distinct(text.tokens(passage))))
+    return overlap_of_terms(F.array_distinct(text.tokens(query)), F.array_distinct(text.tokens(passage)))
+
+
+def overlap_of_terms(terms: Column, passage: Column) -> Column:
+    """overlap_logit() of distinct terms, for texts that meet more than one other: they are cut into terms before."""
+    shared = F.size(F.array_intersect(terms, passage))
     return F.when(F.size(terms) == 0, F.lit(-4.0)).otherwise(shared / F.size(terms) * 8.0 - 4.0)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarrylane.functions import numeric, text
 from quarrylane.operators.layout import overlapping_blocks
 from quarrylane.operators.mutations import skills_or_keywords
-from quarrylane.plans.retrieval import fuse, overlap_logit
+from quarrylane.plans.retrieval import fuse, overlap_of_terms
 from quarrylane.registry import query
 from quarrylane.sources.entities import entity, table
 
@@ -87,9 +87,9 @@ def j05(spark, sf):
 @query("j06_rerank_pairs", f"""WITH q AS (SELECT item_id, list_distinct({duck_tokens('text')}) AS qt FROM benchmark), p AS (SELECT conv_id, turn, list_distinct({duck_tokens('text')}) AS pt FROM conversations)
 SELECT item_id, conv_id, turn, round(CASE WHEN len(qt) = 0 THEN -4 ELSE len(list_intersect(qt, pt)) / len(qt) * 8.0 - 4.0 END, 6) AS logit FROM q, p""")
 def j06(spark, sf):
-    q = F.broadcast(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query")))
-    p = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("passage"))
-    return p.crossJoin(q).select("item_id", "conv_id", "turn", F.round(overlap_logit(F.col("query"), F.col("passage")), 6).alias("logit"))
+    q = F.broadcast(table(spark, sf, "benchmark").select("item_id", F.array_distinct(text.tokens(F.col("text"))).alias("query")))
+    p = table(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(text.tokens(F.col("text"))).alias("passage"))
+    return p.crossJoin(q).select("item_id", "conv_id", "turn", F.round(overlap_of_terms(F.col("query"), F.col("passage")), 6).alias("logit"))
 
 
 @query("j07_qrels_semi", "SELECT job_id, count(*) AS hits FROM applications WHERE (job_id, candidate_id) IN (SELECT job_id, candidate_id FROM applications WHERE score >= 80) GROUP BY job_id", A)

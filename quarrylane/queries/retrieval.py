@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarrylane.functions import numeric, text
 from quarrylane.operators import models
 from quarrylane.operators.experience import experience
+from quarrylane.operators.profiles import profile
 from quarrylane.plans import retrieval
 from quarrylane.queries.aggregates import BM25
 from quarrylane.queries.joins import BLOCKS, DEFAULT_SKILLS, _duck_skills, blocks, duck_tokens
@@ -99,6 +100,30 @@ def u05(spark, sf):
     return models.parse_profiles(entity(spark, sf, "llm_json"), "doc").select("id", "parsed", "overall")
 
 
+@query("u05_whole_profile", """SELECT id, target_headline AS headline, location AS company, CASE WHEN id % 2 = 0 THEN 0.0 ELSE years_of_experience END AS years, CASE WHEN id % 2 = 0 THEN 'Present' ELSE '2024' END AS end_date,
+skills_csv AS skills, CASE WHEN id % 3 = 0 THEN 'Expert' ELSE 'Intermediate' END AS level, coalesce(highest_education, 'Degree / Certificate') AS degree,
+CAST(1990 + id % 30 AS VARCHAR) AS graduated, CASE WHEN id % 2 = 0 THEN 'Certifying Body' ELSE source END AS issuer FROM candidates""", ("candidates",))
+def u05_whole_profile(spark, sf):
+    """Answers in the shapes that models give (lists or objects, aliases, bare names), parsed into whole profiles."""
+    even, s = F.col("id") % 2 == 0, F.col("skills")
+    old = F.to_json(F.array(F.struct(F.col("location").alias("employer"), F.lit(12).alias("duration"))))
+    new = F.to_json(F.struct(F.array(F.struct(F.col("location").alias("company_name"), F.lit("2024").alias("to"))).alias("jobs"), F.col("years_of_experience").alias("total_years")))
+    levels = F.to_json(F.transform(s, lambda x: F.struct(x.alias("skill"), F.lit("an expert").alias("level"))))
+    skills = F.when(F.col("id") % 3 == 0, levels).when(F.col("id") % 3 == 1, F.to_json(s)).otherwise(F.to_json(F.struct(s.alias("my_tools"))))
+    taught = F.to_json(F.array(F.struct(F.col("highest_education").alias("qualification"), (1990 + F.col("id") % 30).alias("year_of_completion"))))
+    issued = F.to_json(F.array(F.struct(F.lit("CKA").alias("cert_name"), F.when(~even, F.col("source")).alias("issuer"))))
+    parts = {"timeline": F.when(even, old).otherwise(new), "skills": skills, "education": taught, "certifications": issued}
+    doc = F.concat(F.lit('{"headline": "'), "target_headline", F.lit('"'), *[x for k, v in parts.items() for x in (F.lit(f', "{k}": '), v)], F.lit("}"))
+    p = entity(spark, sf, "candidates").select("id", doc.alias("doc")).select("id", profile(F.col("doc")).alias("p"))
+    first, detailed = F.col("p.timeline.positions")[0], F.col("p.skills.detailed_skills")
+    return p.select(
+        "id", F.col("p.target_role_or_headline").alias("headline"), first["company_name"].alias("company"), F.col("p.timeline.total_continuous_years").alias("years"),
+        first["end_date"].alias("end_date"), F.array_join(detailed["name"], ",").alias("skills"), detailed[0]["proficiency"].alias("level"),
+        F.col("p.education")[0]["degree"].alias("degree"), F.col("p.education")[0]["graduation_year"].alias("graduated"),
+        F.col("p.certifications")[0]["issuing_organization"].alias("issuer"),
+    )
+
+
 RULED = "contains(target_headline, 'Staff') OR contains(target_headline, 'Senior')"
 
 

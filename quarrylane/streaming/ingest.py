@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-
-from quarrylane.operators.mutations import upsert
+from pyspark.sql.window import Window
 
 #: A task's states with their progress.
 PROGRESS = {"READING": 10, "PARSING": 30, "SCRUBBING": 50, "LLM": 70, "PERSIST": 90, "SUCCESS": 100, "FAILURE": 100}
@@ -27,29 +26,30 @@ def rows(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def latest_versions(spark: SparkSession, store: str) -> DataFrame | None:
-    """The store's newest version, None before the first."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(store)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+def _newest(rows_: DataFrame, key: str, order: list) -> DataFrame:
+    return rows_.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_place = 1").drop("_place")
+
+
+def latest_versions(spark: SparkSession, store: str, key: str = "id") -> DataFrame | None:
+    """Each key's row from the newest batch that has it; None before the first batch."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return None
-    done = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(f"{store}/{max(done, key=lambda n: int(n.split('=')[1]))}") if done else None
+    return _newest(spark.read.parquet(store), key, [F.desc("version")]).drop("version")
 
 
-def upsert_into(store: str, key: str, transform: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: each batch's rows, transformed, replace or join the store's by key.
+def upsert_into(store: str, key: str, transform: Callable[[DataFrame], DataFrame], order: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: each batch's rows, transformed, are added to the store; readers take each key's newest.
 
-    A batch writes the version of its number, so that one that is run again writes the same; readers take the newest
-    finished version.
+    A batch writes its own changes alone, under its number, so that its cost follows the batch, not the store. Of rows of
+    a batch with one key that with the largest `order` stays, of ties the one with the largest hash of all columns:
+    a batch that is run again writes the same over what it wrote.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        changes = transform(batch).dropDuplicates([key])
-        base = latest_versions(spark, store)
-        (changes if base is None else upsert(base, changes, key)).write.mode("overwrite").parquet(f"{store}/version={number}")
+        changes = transform(batch)
+        ties = F.xxhash64(*[F.col(c) for c in changes.columns]).desc()
+        _newest(changes, key, [F.desc(order), ties] if order else [ties]).write.mode("overwrite").parquet(f"{store}/version={number}")
 
     return run
 
