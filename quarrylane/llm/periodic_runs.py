@@ -65,24 +65,30 @@ def repeating(ids: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def suffix_array(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The suffixes' order, their ranks and the LCP array (first and last entry 0) of documents kept apart, by prefix doubling."""
+def suffix_array(ids: np.ndarray, starts: np.ndarray, apart: bool = True, depth: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes' order, their ranks and the LCP array (first and last entry 0) of documents, by prefix doubling.
+
+    Suffixes end with their document. Kept apart, documents have no words in common. With `depth`, suffixes that share so
+    many words needn't be told from each other; their LCP is at least that.
+    """
     n = len(ids)
-    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    end = starts[1:][doc]
-    rank = np.unique(doc * (int(ids.max()) + 1) + ids, return_inverse=True)[1]
+    size = np.diff(starts)
+    doc, end = np.repeat(np.arange(len(size)), size), np.repeat(starts[1:], size)
+    rank = np.unique(doc * (int(ids.max()) + 1) + ids if apart else ids, return_inverse=True)[1]
     levels, at, k = [], np.arange(n), 1
-    while int(rank.max()) < n - 1:
+    while int(rank.max()) < n - 1 and (depth is None or k < depth):
         levels.append(rank.astype(np.int32))
         after = np.where(at + k < end, rank[np.minimum(at + k, n - 1)] + 1, 0)
         rank = np.unique(rank.astype(np.int64) * (n + 1) + after, return_inverse=True)[1]
         k *= 2
-    order = np.empty(n, np.int64)
-    order[rank] = at
+    if depth is not None:
+        levels.append(rank.astype(np.int32))
+    order = np.argsort(rank, kind="stable")
     a, b, lcp = order[:-1].copy(), order[1:].copy(), np.zeros(n + 1, np.int64)
-    for level in range(len(levels) - 1, -1, -1):  # equal ranks are equal stretches of 2^level words
-        r = np.append(levels.pop(), -1)
-        step = np.where(r[a] == r[b], 1 << level, 0)
+    for level in range(len(levels) - 1, -1, -1):  # equal ranks are equal stretches of 2^level words, if both are so long
+        r, width = levels.pop(), 1 << level
+        fits = (a + width <= end[order[:-1]]) & (b + width <= end[order[1:]])
+        step = np.where(fits & (r[np.minimum(a, n - 1)] == r[np.minimum(b, n - 1)]), width, 0)
         a += step
         b += step
         lcp[1:n] += step

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylane.llm import bpe, embedding_dedup, exact_dedup, language_id, language_model, licenses, packing, periodic_runs, pii, simhash, spelling, token_counts
+from quarrylane.llm import bpe, embedding_dedup, exact_dedup, html_extract, language_id, language_model, licenses, packing, periodic_runs, pii, simhash, spelling, token_counts
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_language_id": language_id.op10_language_id,
     "op11_spelling": spelling.op11_spelling,
+    "op12_html_extract": html_extract.op12_html_extract,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 ORACLES = {"op1_license_scan": licenses.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE}
