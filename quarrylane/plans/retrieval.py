@@ -13,83 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylane.functions import numeric, text
-from quarrylane.session import table
+from quarrylane.plans.lexical import LexicalIndex, extend_index, index_of, lexical_index, lexical_scores, lexical_search, open_index, postings_of, pruned_scores, top
+from quarrylane.session import carried, spread, table
 
 #: Queries that a vector search broadcasts at once.
 QUERY_BLOCK = 4096
 
 
-def top(df: DataFrame, k: int, by: list[Column], partition: list[str], rank: str = "rank") -> DataFrame:
-    """The first k rows of each partition with their rank. `by` has to order fully; Spark cuts groups before the shuffle."""
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*partition).orderBy(*by)).cast("long")).where(F.col(rank) <= k)
-
-
-@dataclass
-class LexicalIndex:
-    """An inverted index: postings (doc_id, term, tf, dl), terms (term, df, idf)."""
-
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame  # one row: n, avgdl
-
-
-def postings_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, term, tf, dl), and for each document one without a term. Rows of one doc_id are one document.
-
-    Texts are cut into terms once: from explode() Spark would infer that there are terms, and cut each text again below
-    the projection to find out; from explode_outer() nothing is inferred.
-    """
-    tokens = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text.tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
-    terms = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
-def lexical_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", epsilon: float = 0.25, path: str | None = None) -> LexicalIndex:
-    """Postings and BM25 statistics. Negative idf becomes epsilon times the mean idf over all terms, negative ones too.
-
-    Postings are written once (to `path`, or to the shared folder), one scan and one shuffle; all statistics come from
-    them. An index written before is opened by open_index().
-    """
-    written = table(postings_of(docs, id_col, text_col), path)
-    return index_of(written, epsilon)
-
-
-def open_index(spark: SparkSession, path: str, epsilon: float = 0.25) -> LexicalIndex:
-    """An index whose postings were written to `path`."""
-    return index_of(spark.read.parquet(path), epsilon)
-
-
-def extend_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", epsilon: float = 0.25) -> LexicalIndex:
-    """Add documents, none of which the index has, to the postings at `path`: only the new texts are cut into terms."""
-    postings_of(docs, id_col, text_col).write.mode("append").parquet(path)
-    return open_index(docs.sparkSession, path, epsilon)
-
-
-def index_of(written: DataFrame, epsilon: float = 0.25) -> LexicalIndex:
-    """An index over postings as postings_of() makes them."""
-    postings = written.where("term is not null")
-    stats = written.agg(F.count_if(F.col("term").isNull()).alias("n"), F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).alias("total"))
-    stats = stats.select("n", (F.coalesce("total", F.lit(0)) / F.when(F.col("n") > 0, F.col("n"))).alias("avgdl"))
-    raw = table(postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", "avgdl", "n", numeric.bm25_idf(F.col("df"), F.col("n")).alias("raw")))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, terms, stats)
-
-
-def lexical_scores(index: LexicalIndex, queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
-    """Positive BM25 scores (query_id, doc_id, score); a term that a query repeats counts again."""
-    wanted = queries.select(F.col(id_col).alias("query_id"), F.explode_outer(text.tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weight = numeric.bm25_weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))
-    hits = wanted.join(index.terms, "term").join(index.postings, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(weight * F.col("qtf")).alias("score")).where("score > 0")
-
-
-def lexical_search(index: LexicalIndex, queries: DataFrame, k: int = 20, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
-    """The k best documents of each query by BM25: (query_id, doc_id, score, rank)."""
-    scores = lexical_scores(index, queries, id_col, text_col).withColumn("score", F.round("score", 9))
-    return top(scores, k, [F.desc("score"), F.asc("doc_id")], ["query_id"])
-
-
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     """The k nearest vectors (doc_id, embedding) of each query (query_id, vector) by cosine: (query_id, doc_id, score, rank).
 
@@ -163,7 +93,12 @@ def format_candidate(row_text: Column, headline: Column, years: Column, skills:
 
 def overlap_logit(query: Column, passage: Column) -> Column:
     """The offline stand-in for a cross-encoder: the share of the query's terms that the passage has, as a logit of -4 to 4."""
-    return overlap_of_terms(F.array_distinct(text.tokens(query)), F.array_distinct(text.tokens(passage)))
+    return overlap_of_terms(distinct_terms(query), distinct_terms(passage))
+
+
+def distinct_terms(value: Column) -> Column:
+    """A text's search terms, each once."""
+    return F.array_distinct(text.tokens(value))
 
 
 def overlap_of_terms(terms: Column, passage: Column) -> Column:
@@ -202,11 +137,16 @@ def evaluate(rows: DataFrame, passage: str = "passage") -> DataFrame:
 def funnel(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, retrieve_k: int = 100, final_k: int = 20) -> DataFrame:
     """Retrieve, attach texts, re-rank, evaluate, sort: one row for each query's result.
 
-    Narrow first: only the retrieved identifiers meet the texts, and that side of the join is small.
+    Narrow first: only retrieved documents are cut into terms, each once, however many queries they answer.
     """
-    found = hybrid_search(docs, vectors, queries, query_vectors, retrieve_k)
-    pairs = found.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("passage")), "doc_id", "left")
-    ranked = evaluate(rerank(pairs.withColumn("passage", F.coalesce("passage", F.lit(""))), final_k))
+    found = table(hybrid_search(docs, vectors, queries, query_vectors, retrieve_k))
+    asked = queries.select("query_id", distinct_terms(F.col("text")).alias("terms"))
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("passage")).join(carried(found.select("doc_id").distinct()), "doc_id", "left_semi")
+    passages = evaluate(spread(some)).select("doc_id", "match_score", "tier", distinct_terms(F.col("passage")).alias("passage_terms"))
+    none = evaluate(queries.sparkSession.createDataFrame([("",)], "passage string")).first()  # for retrieved documents without a text
+    pairs = found.join(carried(asked), "query_id").join(passages, "doc_id", "left").fillna({"match_score": none.match_score, "tier": none.tier})
+    logit = overlap_of_terms(F.col("terms"), F.coalesce("passage_terms", F.array().cast("array<string>")))
+    ranked = rerank(pairs.withColumn("raw_score", logit).drop("terms", "passage_terms"), final_k, scored=True)
     final = Window.partitionBy("query_id").orderBy(F.desc("match_score"), F.asc("rerank_rank"))
     return ranked.withColumn("position", F.row_number().over(final).cast("long"))
 

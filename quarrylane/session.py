@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -85,3 +86,21 @@ def table(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or shared_dir(spark)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: The most rows that carried() lets go out by broadcast, and the bytes below which spread() deals rows out anew.
+CARRIED, SPREAD = 1 << 18, 256 << 20
+
+
+def carried(df: DataFrame) -> DataFrame:
+    """df for a join's smaller side: broadcast where a count of its rows says that it is small, else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(CARRIED + 1).count() <= CARRIED else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it is small: a small Parquet file is often one row group, which one task would read and work on.
+
+    By the optimiser's estimate of its bytes; larger inputs, which have more row groups than a cluster has cores, stay as they are.
+    """
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SPREAD
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
