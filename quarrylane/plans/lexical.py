@@ -1,10 +1,16 @@
-"""The lexical index and its searches: postings, blocks of postings with their greatest contribution, pruned top-k."""
+"""The lexical index and its searches: blocks of documents with their postings by term, pruned top-k.
+
+The index is partitioned by documents: a block is some hundred documents, with a row for each of their terms. It is made
+where the texts are read, without a shuffle. A search brings the asked terms' rows of a block together, and works on it
+whole: a block whose greatest contributions can't lift any document among a query's best so far isn't scored for it. Only
+each task's k best go on, never all pairs of queries and documents.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylane.functions import numeric, text
-from quarrylane.session import carried, spread, table
+from quarrylane.session import CARRIED, spread, table
 
-#: Layers of a unit of impact (a posting's BM25 weight without idf, below 2.5), and the documents that a block's come from.
-LAYERS, BLOCK = 8, 4096
-#: Postings, as a multiple of k, that a query's first pass reads at least.
-FIRST = 20
+#: The documents of a block.
+BLOCK = 256
 #: By how much a bound may be off by rounding.
 SLACK = 1e-6
+#: BM25's constants.
+K1, B = 1.5, 0.75
 
 
 def top(df: DataFrame, k: int, by: list[Column], partition: list[str], rank: str = "rank") -> DataFrame:
@@ -29,96 +35,106 @@ def top(df: DataFrame, k: int, by: list[Column], partition: list[str], rank: str
 
 @dataclass
 class LexicalIndex:
-    """An inverted index: postings (doc_id, term, tf, dl), terms (term, df, idf), stats (one row: n, avgdl)."""
+    """An inverted index: blocks as blocks_of() makes them, terms (term, df, idf), stats (one row: n, avgdl)."""
 
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     stats: DataFrame
-    _blocks: list[DataFrame] = field(default_factory=list)
-
-    def blocks(self) -> DataFrame:
-        """Postings by (term, layer, part): best, the greatest impact in it, and an array of (doc_id, impact); written once.
-
-        A layer holds impacts of a like size, a part some documents: a block has at most about BLOCK postings, however
-        frequent its term, and whole blocks are left out by their best alone.
-        """
-        if not self._blocks:
-            n = self.stats.first().n or 0
-            parts = max(1, math.ceil(n / BLOCK))
-            impact = numeric.bm25_weight(F.lit(1.0), F.col("tf"), F.col("dl"), F.col("avgdl"))
-            rows = self.postings.crossJoin(F.broadcast(self.stats.select("avgdl"))).select("term", "doc_id", impact.alias("impact"))
-            rows = rows.withColumns({"layer": F.floor(F.col("impact") * LAYERS).cast("int"), "part": F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")})
-            made = rows.groupBy("term", "layer", "part").agg(F.max("impact").alias("best"), F.collect_list(F.struct("doc_id", "impact")).alias("postings"))
-            self._blocks.append(table(made))
-        return self._blocks[0]
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, term, tf, dl) of rows (doc_id, tokens), and one without a term for each."""
+
+    @property
+    def postings(self) -> DataFrame:
+        """Rows (doc_id, term, tf, dl)."""
+        return _flat(self.blocks.where("term is not null"))
+
+
+def _flat(blocks: DataFrame) -> DataFrame:
+    return blocks.select("term", F.explode(F.arrays_zip("ids", "tf", "dl")).alias("p")).select(F.col("p.ids").alias("doc_id"), "term", F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl"))
+
+
+def _blocked(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (doc_id, tokens): a row for each term, and one without a term that has all of a block's documents."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            tokens = part.column("tokens")
-            size = tokens.value_lengths().to_numpy()
+        for at in range(0, batch.num_rows, block):
+            part = batch.slice(at, block)
+            tokens, ids = part.column("tokens"), part.column("doc_id")
+            n = part.num_rows
+            dl = tokens.value_lengths().to_numpy().astype(np.int64)
             coded = tokens.flatten().dictionary_encode()
-            width = len(coded.dictionary) + 1
-            key, tf = np.unique(np.repeat(np.arange(len(size)), size) * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-            own = np.concatenate([key // width, np.arange(len(size))])
-            term = pa.concat_arrays([coded.dictionary.take(pa.array(key % width)), pa.nulls(len(size), coded.dictionary.type)])
-            yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(own)), "term": term, "tf": pa.array(np.append(tf, np.ones(len(size), np.int64))), "dl": pa.array(size[own].astype(np.int32))})
+            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            key, tf = np.unique(codes * n + np.repeat(np.arange(n), dl), return_counts=True)
+            term, doc = np.append(key // n, np.full(n, len(coded.dictionary))), np.append(key % n, np.arange(n))
+            tf = np.append(tf, np.ones(n, np.int64))
+            first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+            ends = pa.array(np.append(first, len(term)).astype(np.int32))
+            listed = lambda values: pa.ListArray.from_arrays(ends, values)  # noqa: E731, B023
+            yield pa.record_batch({
+                "block": pa.array([hash_of(ids)] * len(first), pa.int64()), "term": pa.concat_arrays([coded.dictionary, pa.nulls(1, coded.dictionary.type)]).take(pa.array(term[first])),
+                "most_tf": pa.array(np.maximum.reduceat(tf, first)), "least_dl": pa.array(np.minimum.reduceat(dl[doc], first)),
+                "ids": listed(ids.take(pa.array(doc))), "tf": listed(pa.array(tf)), "dl": listed(pa.array(dl[doc])),
+            })
 
 
-def postings_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, term, tf, dl), and for each document one without a term. Rows of one doc_id are one document.
+def hash_of(ids: pa.Array) -> int:
+    """A block's number, by its documents: the same whenever it is made again."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(repr(ids.to_pylist()).encode()) >> 1
+
+
+def blocks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """Rows (block, term, most_tf, least_dl, ids, tf, dl): a block's documents with a term, how often, and their lengths.
 
-    Texts are cut into terms once, and counted where they are: nothing is shuffled unless identifiers repeat.
+    Each block has a row without a term, of all its documents. Texts are cut into terms once, and counted where they are:
+    nothing is shuffled unless identifiers repeat. Rows of one identifier are one document.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     tokens = spread(rows).select("doc_id", F.coalesce(text.tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
-    counted = tokens.mapInArrow(_counted, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, term string, tf long, dl int")
-    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return counted
-    length = counted.where("term is null").groupBy("doc_id").agg(F.sum("dl").cast("int").alias("dl"))
-    merged = counted.groupBy("doc_id", "term").agg(F.when(F.col("term").isNull(), 1).otherwise(F.sum("tf")).alias("tf"))
-    same = merged["doc_id"].eqNullSafe(length["doc_id"])
-    return merged.join(length, same).select(merged["doc_id"], "term", "tf", "dl")
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        tokens = tokens.groupBy("doc_id").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return tokens.mapInArrow(lambda batches: _blocked(batches, block), f"block long, term string, most_tf long, least_dl long, ids array<{kind}>, tf array<long>, dl array<long>")
+
+
+def postings_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, term, tf, dl), and for each document one without a term."""
+    return _flat(blocks_of(docs, id_col, text_col))
 
 
 def lexical_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", epsilon: float = 0.25, path: str | None = None) -> LexicalIndex:
-    """Postings and BM25 statistics. Negative idf becomes epsilon times the mean idf over all terms, negative ones too.
+    """Blocks and BM25 statistics. Negative idf becomes epsilon times the mean idf over all terms, negative ones too.
 
-    Postings are written once (to `path`, or to the shared folder), in one scan; all statistics come from them. An index
+    Blocks are written once (to `path`, or to the shared folder), in one scan; all statistics come from them. An index
     written before is opened by open_index().
     """
-    written = table(postings_of(docs, id_col, text_col), path)
-    return index_of(written, epsilon)
+    return index_of(table(blocks_of(docs, id_col, text_col), path), epsilon)
 
 
 def open_index(spark: SparkSession, path: str, epsilon: float = 0.25) -> LexicalIndex:
-    """An index whose postings were written to `path`."""
+    """An index whose blocks were written to `path`."""
     return index_of(spark.read.parquet(path), epsilon)
 
 
 def extend_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", epsilon: float = 0.25) -> LexicalIndex:
-    """Add documents to the postings at `path`: only new texts are cut into terms.
+    """Add documents to the index at `path`: only new texts are cut into terms.
 
     Documents that the index has are left as they are, so that a repeated call, after a failure say, adds none twice.
     """
-    known = docs.sparkSession.read.parquet(path).where("term is null").select(F.col("doc_id").alias(id_col))
-    new = docs.select(id_col, text_col).join(known, id_col, "left_anti")
-    postings_of(table(new), id_col, text_col).write.mode("append").parquet(path)
+    known = docs.sparkSession.read.parquet(path).where("term is null").select(F.explode("ids").alias(id_col))
+    new = table(docs.select(id_col, text_col).join(known, id_col, "left_anti"))
+    blocks_of(new, id_col, text_col).write.mode("append").parquet(path)
     return open_index(docs.sparkSession, path, epsilon)
 
 
-def index_of(written: DataFrame, epsilon: float = 0.25) -> LexicalIndex:
-    """An index over postings as postings_of() makes them."""
-    postings = written.where("term is not null")
-    stats = written.agg(F.count_if(F.col("term").isNull()).alias("n"), F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).alias("total"))
+def index_of(blocks: DataFrame, epsilon: float = 0.25) -> LexicalIndex:
+    """An index over blocks as blocks_of() makes them."""
+    total = F.aggregate("dl", F.lit(0).cast("long"), lambda a, x: a + x)
+    stats = blocks.where("term is null").agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n"), F.sum(total).alias("total"))
     stats = table(stats.select("n", (F.coalesce("total", F.lit(0)) / F.when(F.col("n") > 0, F.col("n"))).alias("avgdl")))
-    raw = table(postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", "avgdl", "n", numeric.bm25_idf(F.col("df"), F.col("n")).alias("raw")))
+    df = blocks.where("term is not null").groupBy("term").agg(F.sum(F.size("ids")).alias("df"))
+    raw = table(df.crossJoin(F.broadcast(stats)).select("term", "df", "avgdl", "n", numeric.bm25_idf(F.col("df"), F.col("n")).alias("raw")))
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, terms, stats)
+    return LexicalIndex(blocks, terms, stats)
 
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
@@ -133,62 +149,108 @@ def lexical_scores(index: LexicalIndex, queries: DataFrame, id_col: str = "query
     return hits.groupBy("query_id", "doc_id").agg(F.sum(weight * F.col("qtf")).alias("score")).where("score > 0")
 
 
-@dataclass
-class Pruned:
-    """What a pruned search looked at: each query's terms with their bounds, documents that can be among the best, their scores."""
-
-    asked: DataFrame  # query_id, term, weight, most (greatest contribution), essential, least (impact that can still matter)
-    candidates: DataFrame  # query_id, doc_id, partial
-    scores: DataFrame  # query_id, doc_id, score
+class Scorer:
+    """The k best documents of each query over the blocks that it is given.
 
+    `heads` and `asked` are the queries' terms: term t is asked by queries asked[heads[t]:heads[t + 1]] with those weights.
+    """
 
-def _met(asked: DataFrame, blocks: DataFrame, where: Column | None = None) -> DataFrame:
-    """Each query's sums of contributions (query_id, doc_id, partial) over the given terms' blocks and postings."""
-    met = carried(asked).join(blocks, "term")
-    if where is not None:
-        met = met.where(where)
-    rows = met.select("query_id", "weight", "least", F.explode("postings").alias("p")).where(F.col("p.impact") >= F.col("least"))
-    return rows.groupBy("query_id", F.col("p.doc_id").alias("doc_id")).agg(F.sum(F.col("weight") * F.col("p.impact")).alias("partial"))
+    def __init__(self, queries: int, heads: np.ndarray, asked: np.ndarray, weights: np.ndarray, mean_length: float, k: int):
+        self.heads, self.asked, self.weights, self.mean, self.k = heads, asked, weights, mean_length, k
+        self.bound = np.zeros(queries)  # the k-th best score so far
+        self.query, self.score, self.doc = np.zeros(0, np.int64), np.zeros(0), None
+        self.scored = 0  # pairs of a query and a document
+
+    def impact(self, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.mean))
+
+    def add(self, terms: np.ndarray, most: np.ndarray, least: np.ndarray, sizes: np.ndarray, ids: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> None:
+        """A block: its rows' terms, greatest frequencies, least lengths and numbers of postings, and the postings."""
+        many = self.heads[terms + 1] - self.heads[terms]
+        at = np.repeat(self.heads[terms] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        row, query, weight = np.repeat(np.arange(len(terms)), many), self.asked[at], self.weights[at]
+        reach = np.bincount(query, weight.clip(0) * self.impact(most, least)[row], len(self.bound))
+        open_ = (reach > 0) & (reach >= self.bound - SLACK)
+        own = open_[query]
+        row, query, weight = row[own], query[own], weight[own]
+        if not len(row):
+            return
+        docs, place = np.unique(ids, return_inverse=True)
+        live = np.flatnonzero(open_)
+        local = np.zeros(len(self.bound), np.int64)
+        local[live] = np.arange(len(live))
+        begin, impact = np.cumsum(sizes) - sizes, self.impact(tf, dl)
+        many = sizes[row]
+        p = np.repeat(begin[row] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        cell = np.repeat(local[query] * len(docs), many) + place[p]
+        score = np.bincount(cell, np.repeat(weight, many) * impact[p], len(live) * len(docs)).round(9)
+        self.scored += len(live) * len(docs)
+        hit = np.flatnonzero((score > 0) & (score >= np.repeat(self.bound[live], len(docs)) - SLACK))
+        query, score, doc = np.append(self.query, live[hit // len(docs)]), np.append(self.score, score[hit]), docs[hit % len(docs)]
+        doc = doc if self.doc is None else np.append(self.doc, doc)
+        order = np.lexsort((doc, -score, query))
+        query = query[order]
+        start = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, np.int64)
+        rank = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
+        kept = rank < self.k
+        self.query, self.score, self.doc = query[kept], score[order][kept], doc[order][kept]
+        last = np.flatnonzero(rank == self.k - 1)
+        self.bound[query[last]] = score[order][last]
+
+
+def _search(held, k: int):
+    """Rows (code, block, ...) sorted by block, to each task's k best of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, heads, asked, weights, mean = held.value
+        scorer, rest = Scorer(len(names), heads, asked, weights, mean, k), None
+
+        def add(rows: pa.RecordBatch | pa.Table) -> None:
+            column = lambda name: rows.column(name).to_numpy()
+            flat = lambda name: rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            scorer.add(column("code"), column("most_tf"), column("least_dl"), column("size"), flat("ids"), flat("tf"), flat("dl"))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            block = rows.column("block").to_numpy()
+            first = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist()
+            for a, b in zip(first[:-1], first[1:], strict=True):
+                add(rows.slice(a, b - a))
+            rest = rows.slice(first[-1])
+        if rest is not None:
+            add(rest)
+        if len(scorer.query):
+            yield pa.record_batch({"query_id": names.take(pa.array(scorer.query)), "doc_id": pa.array(scorer.doc.tolist()), "score": pa.array(scorer.score)})
+
+    return run
 
 
-def pruned_scores(index: LexicalIndex, queries: DataFrame, k: int, id_col: str = "query_id", text_col: str = "text") -> Pruned:
-    """Exact scores of all documents that can be among a query's k best, ties with the last of them included.
+def lexical_search(index: LexicalIndex, queries: DataFrame, k: int = 20, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    """The k best documents of each query by BM25: (query_id, doc_id, score, rank); ties go to the smaller doc_id.
 
-    A first pass adds up a query's rarest terms alone; the k-th best of these sums is a bound that the k-th best score
-    reaches. The terms that a document can have all of without reaching it aren't essential: a document needs one of the
-    others, and of those only blocks and postings count whose impact, with the most of all other terms, reaches the bound.
-    What is left is scored in full.
+    Exact: a block is left out for a query only if it can't have any of its k best. The queries go out by broadcast, at most
+    about CARRIED terms at a time; more are further passes over the index. Documents without an identifier aren't found.
     """
-    blocks = index.blocks()
-    peaks = blocks.groupBy("term").agg(F.max("best").alias("peak"))
-    asked = query_terms(queries, id_col, text_col).join(index.terms, "term").join(peaks, "term")
-    weight = F.col("idf") * F.col("qtf")
-    # A negative weight can't raise a score; it may lower one by `low`, which is below 2.5 times the weight.
-    asked = table(asked.select("query_id", "term", "df", weight.alias("weight"), F.greatest(weight * F.col("peak"), F.lit(0.0)).alias("most"), F.least(weight * 2.5, F.lit(0.0)).alias("low")))
-    rarest = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    first = asked.withColumn("before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where((F.col("before") < FIRST * k) & (F.col("weight") > 0)).select("query_id", "term", "weight", F.lit(0.0).alias("least"))
-    best = top(_met(first, blocks), k, [F.desc("partial"), F.asc("doc_id")], ["query_id"])
-    bounds = best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("partial")).alias("kth"))
-    whole, rising = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy("most", "term")
-    bound = F.greatest(F.coalesce("kth", F.lit(0.0)) + F.sum("low").over(whole), F.lit(0.0)) - SLACK
-    terms = asked.join(bounds, "query_id", "left").withColumns({"bound": bound, "sum": F.sum("most").over(rising), "all": F.sum("most").over(whole)})
-    terms = terms.withColumn("essential", (F.col("sum") >= F.col("bound")) & (F.col("weight") > 0))
-    least = F.when(F.col("weight") > 0, (F.col("bound") - F.col("all") + F.col("most")) / F.col("weight")).otherwise(0.0)
-    terms = table(terms.select("query_id", "term", "weight", "most", "bound", "essential", F.greatest(least, F.lit(0.0)).alias("least")))
-    rest = terms.groupBy("query_id").agg(F.max("bound").alias("bound"), F.sum(F.when(~F.col("essential"), F.col("most")).otherwise(0.0)).alias("rest"))
-    # A document with a posting below `least` can't reach the bound, whatever else it has: what it lacks in its sum is no loss.
-    found = _met(terms.where("essential").drop("bound"), blocks, F.col("best") >= F.col("least"))
-    found = found.join(carried(rest), "query_id").where(F.col("partial") + F.col("rest") >= F.col("bound"))
-    candidates = table(found.select("query_id", "doc_id", "partial"))
-    # In full: the candidates' postings, of all of their query's terms.
-    wanted = candidates.select("query_id", "doc_id").join(carried(terms.select("query_id", "term", "weight")), "query_id")
-    docs = candidates.select("doc_id").distinct()
-    some = carried(terms.select("term").distinct()).join(blocks, "term").select("term", F.explode("postings").alias("p")).select("term", "p.doc_id", "p.impact").join(carried(docs), "doc_id", "left_semi")
-    scores = wanted.join(some, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("score")).where("score > 0")
-    return Pruned(terms, candidates, scores)
-
-
-def lexical_search(index: LexicalIndex, queries: DataFrame, k: int = 20, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
-    """The k best documents of each query by BM25: (query_id, doc_id, score, rank)."""
-    scores = pruned_scores(index, queries, k, id_col, text_col).scores.withColumn("score", F.round("score", 9))
-    return top(scores, k, [F.desc("score"), F.asc("doc_id")], ["query_id"])
+    asked = table(query_terms(queries, id_col, text_col).where("query_id is not null").join(index.terms.select("term", "idf"), "term").select("query_id", "term", (F.col("idf") * F.col("qtf")).alias("weight")))
+    passes = max(1, -(-asked.count() // CARRIED))
+    found = [_pass(index, asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i), k) for i in range(passes)]
+    return top(reduce(DataFrame.unionByName, found), k, [F.desc("score"), F.asc("doc_id")], ["query_id"])
+
+
+def _pass(index: LexicalIndex, asked: DataFrame, k: int) -> DataFrame:
+    rows = asked.toArrow()
+    spark, names = asked.sparkSession, rows.column("query_id").unique()
+    terms = rows.column("term").combine_chunks().dictionary_encode()
+    code = terms.indices.to_numpy(zero_copy_only=False)
+    query = rows.column("query_id").combine_chunks().dictionary_encode()
+    order = np.argsort(code, kind="stable")
+    heads = np.append(0, np.cumsum(np.bincount(code, minlength=len(terms.dictionary))))
+    mean = index.stats.first().avgdl or 1.0
+    held = spark.sparkContext.broadcast((query.dictionary, heads, query.indices.to_numpy(zero_copy_only=False)[order], rows.column("weight").to_numpy()[order], mean))
+    known = spark.createDataFrame(pa.table({"term": terms.dictionary, "code": pa.array(np.arange(len(terms.dictionary)))}), "term string, code long") if len(names) else asked.select("term", F.lit(0).cast("long").alias("code"))
+    hits = index.blocks.join(F.broadcast(known), "term").select("block", "code", "most_tf", "least_dl", F.size("ids").cast("long").alias("size"), "ids", "tf", "dl")
+    kind = index.blocks.schema["ids"].dataType.elementType.simpleString()
+    near = hits.repartition(F.col("block")).sortWithinPartitions("block")
+    return near.mapInArrow(_search(held, k), f"query_id {asked.schema['query_id'].dataType.simpleString()}, doc_id {kind}, score double")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,23 +44,44 @@ def test_terms_in_most_texts_have_no_negative_effect(spark):
     assert lexical.lexical_search(index, queries, 3).count() == lexical.lexical_scores(index, queries).count() == 0
 
 
+def scored(index, queries, k):
+    """How many pairs of a query and a document the search scores, in one task."""
+    seen = []
+
+    class Counting(lexical.Scorer):
+        def add(self, *block):
+            super().add(*block)
+            seen.append(self.scored)
+
+    asked = lexical.query_terms(queries).join(index.terms, "term").select("query_id", "term", (F.col("idf") * F.col("qtf")).alias("weight")).toPandas()
+    names, terms = sorted(set(asked.query_id)), sorted(set(asked.term))
+    asked["code"] = asked.term.map({t: i for i, t in enumerate(terms)})
+    asked = asked.sort_values("code")
+    heads = np.append(0, np.cumsum(np.bincount(asked.code, minlength=len(terms))))
+    scorer = Counting(len(names), heads, asked.query_id.map({q: i for i, q in enumerate(names)}).to_numpy(), asked.weight.to_numpy(), index.stats.first().avgdl, k)
+    for _, rows in index.blocks.toPandas().dropna(subset="term").groupby("block"):
+        rows = rows[rows.term.isin(terms)]
+        if len(rows):
+            flat = lambda c: np.concatenate(rows[c].to_numpy())  # noqa: E731, B023
+            scorer.add(rows.term.map({t: i for i, t in enumerate(terms)}).to_numpy(), rows.most_tf.to_numpy(), rows.least_dl.to_numpy(), rows.ids.map(len).to_numpy(), flat("ids"), flat("tf"), flat("dl"))
+    return scorer.scored
+
+
 def test_few_pairs_are_scored(spark):
-    sf = "/root/testdata/sf0.01"
-    docs, queries = table(spark, sf, "documents"), table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
-    index = lexical.lexical_index(docs)
-    pruned = lexical.pruned_scores(index, queries, 10)
-    candidates, everything = pruned.candidates.count(), lexical.lexical_scores(index, queries).count()
-    assert queries.count() * 10 <= candidates < 0.25 * everything
-    assert pruned.scores.count() <= candidates
+    """Of queries with a word of few texts, most blocks are left out by their bounds."""
+    rng = random.Random(8)
+    texts = [(i, t + (f" topic{i // 40}" * 3)) for i, t in corpus(rng, 2000)]
+    index = lexical.index_of(lexical.blocks_of(spark.createDataFrame(texts, "doc_id long, text string"), block=8))
+    queries = spark.createDataFrame([(i, f"topic{i} w{i} w{i + 1} w0") for i in range(50)], "query_id long, text string")
+    assert 50 * 5 <= scored(index, queries, 5) < 0.3 * 50 * 2000
 
 
-def test_blocks_are_bounded_and_hold_all_postings(spark, sf, monkeypatch):
-    monkeypatch.setattr(lexical, "BLOCK", 16)
+def test_blocks_are_bounded_and_hold_all_postings(spark, sf):
     index = lexical.lexical_index(table(spark, sf, "documents"))
-    blocks = index.blocks().select("term", "best", "postings", F.array_max(F.transform("postings", lambda p: p["impact"])).alias("most")).collect()
-    assert sum(len(b.postings) for b in blocks) == index.postings.count()
-    assert max(len(b.postings) for b in blocks) <= 40 and all(b.best == b.most for b in blocks)
-    assert index.blocks() is index.blocks()
+    blocks = index.blocks.collect()
+    assert max(len(b.ids) for b in blocks) <= lexical.BLOCK
+    assert sum(len(b.ids) for b in blocks if b.term) == index.postings.count() and sum(len(b.ids) for b in blocks if not b.term) == index.stats.first().n
+    assert all(b.most_tf == max(b.tf) and b.least_dl == min(b.dl) for b in blocks)
 
 
 def test_repeated_identifiers_are_one_document(spark):
