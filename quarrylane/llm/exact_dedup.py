@@ -1,9 +1,9 @@
 """Operator 2, exact deduplication, as a log-structured merge index of digests. DataFrame operations only.
 
 A memtable is what one input partition holds: flush() writes each as a run, sorted by digest, and for the batch a filter
-on its digests. compact() merges the runs: a digest keeps one identifier (the smallest, or the largest on request) and
-its count. lookup() asks the batches' filters before it joins: digests that none may hold pass by without a shuffle. A
-digest only proposes: hits are then compared by the bytes of their texts.
+on its digests. compact() merges the runs that aren't merged yet: a digest keeps one identifier (the smallest, or the
+largest on request) and its count. lookup() asks filters before it joins: digests that none may hold pass by without a
+shuffle. A digest only proposes: hits are then compared by the bytes of their texts.
 """
 
 from __future__ import annotations
@@ -30,50 +30,76 @@ def sha(text: Column) -> Column:
 class DigestIndex:
     """A log-structured merge index in a shared folder.
 
-    Rows are (digest binary, id long, n long, keep_id long). Several batches may be flushed before a compaction; the
-    compacted level is replaced as a whole, so that a job that dies leaves the former level in place.
+    Level 0 are runs of (digest binary, id long); a compaction merges those not yet merged, and the level before, into a new
+    level of (digest, keep_id, n). Each run, and each level, has a filter on its digests. A level is written as a whole under
+    a number of its own, so that a job that dies leaves the former level in place.
     """
 
+    RUN, LEVEL = "digest binary, id long", "digest binary, keep_id long, n long"
+
     def __init__(self, spark: SparkSession, path: str | None = None, keep: str = "smallest"):
         if keep not in ("smallest", "largest"):
             raise ValueError("keep is 'smallest' or 'largest'")
-        self.spark, self.path, self.keep, self.runs, self.level = spark, path or shared_dir(spark), keep, 0, None
-        self.made: list[tuple[DataFrame, int]] = []
+        self.spark, self.path, self.keep = spark, path or shared_dir(spark), keep
+        self.flushed = self.compactions = 0
+        self.runs: list[tuple[DataFrame, DataFrame, int]] = []  # not yet merged: rows, filter, its words
+        self.level: DataFrame | None = None
+        self.filter: tuple[DataFrame, int] | None = None
+        self.merged: list[tuple[DataFrame, int]] = []  # the filters of the runs that the first level has
+
+    def _filter(self, rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        words = filter_words(rows.count())
+        return table(id_filter(rows.select(F.col("digest").alias("id")), words), f"{self.path}/filter/{name}"), words
 
     def flush(self, rows: DataFrame) -> DataFrame:
-        """Write rows (digest, id) as sorted runs, one for each partition, without a shuffle; returns them."""
-        out = f"{self.path}/level0/batch={self.runs}"
+        """Write rows (digest, id) as sorted runs, one for each partition, without a shuffle, and their filter; returns them."""
+        out = f"{self.path}/level0/batch={self.flushed}"
         rows.select("digest", "id").sortWithinPartitions("digest").write.parquet(out)
-        self.runs += 1
-        return self.spark.read.schema("digest binary, id long").parquet(out)
-
-    def filters(self) -> list[tuple[DataFrame, int]]:
-        """Each batch's filter over its digests, with its words; made once, when it is first asked for."""
-        for k in range(len(self.made), self.runs):
-            run = self.spark.read.schema("digest binary, id long").parquet(f"{self.path}/level0/batch={k}")
-            words = filter_words(run.count())
-            self.made.append((table(id_filter(run.select(F.col("digest").alias("id")), words), f"{self.path}/filter/batch={k}"), words))
-        return self.made
+        run = self.spark.read.schema(self.RUN).parquet(out)
+        self.runs.append((run, *self._filter(run, f"run={self.flushed}")))
+        self.flushed += 1
+        return run
 
     def compact(self) -> DataFrame:
-        """Merge all runs and the level before into (digest, keep_id, n); identifiers that are null count but aren't kept."""
-        pick = F.min if self.keep == "smallest" else F.max
-        parts = [self.spark.read.schema("digest binary, id long").parquet(f"{self.path}/level0/batch={k}").select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n")) for k in range(self.runs)]
-        merged = parts[0]
-        for part in [*parts[1:], *([self.level] if self.level is not None else [])]:
-            merged = merged.unionByName(part)
-        self.level = table(merged.groupBy("digest").agg(pick("keep_id").alias("keep_id"), F.sum("n").alias("n")).sortWithinPartitions("digest"), f"{self.path}/level1-{self.runs}")
+        """Merge the runs that no level has yet with the level before; null identifiers count but aren't kept.
+
+        Without such runs the level stays. Of the repeated digests the level's filter is made.
+        """
+        if self.runs or self.level is None:
+            pick = F.min if self.keep == "smallest" else F.max
+            merged = self.level if self.level is not None else self.spark.createDataFrame([], self.LEVEL)
+            for run, *_ in self.runs:
+                merged = merged.unionByName(run.select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n")))
+            self.compactions += 1
+            rows = merged.groupBy("digest").agg(pick("keep_id").alias("keep_id"), F.sum("n").alias("n")).sortWithinPartitions("digest")
+            self.level = table(rows, f"{self.path}/level1/{self.compactions}")
+            self.filter = self._filter(self.level, f"level={self.compactions}") if self.compactions > 1 else None
+            self.merged, self.runs = [r[1:] for r in self.runs], []
         return self.level
 
     def lookup(self, rows: DataFrame) -> DataFrame:
-        """Rows (digest, ...) of a new batch whose digest the compacted level has, with keep_id and n."""
-        maybe = rows.withColumn("_maybe", F.lit(False))
-        for filt, words in self.filters():
-            word, bit = _place(words, F.col("digest"))
-            f = F.broadcast(filt.select(F.col("word").alias("_at"), F.col("bits").alias("_bits")))
-            hit = F.col("_maybe") | F.coalesce(bit.bitwiseAND(F.col("_bits")) != 0, F.lit(False))
-            maybe = maybe.join(f, word == F.col("_at"), "left").withColumn("_maybe", hit).drop("_at", "_bits")
-        return maybe.where("_maybe").drop("_maybe").join(self.level, "digest")
+        """Rows (digest, ...) of a new batch whose digest the level has, with keep_id and n; the filter is asked before the join."""
+        if self.level is None:
+            return rows.join(self.compact(), "digest")
+        filters = [self.filter] if self.filter else self.merged
+        maybe, _ = split(rows, filters, F.col("digest"))
+        return maybe.join(self.level, "digest")
+
+    def repeated(self, run: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """A run's rows that may have a digest of several rows, and those that certainly don't, told by a filter without a shuffle."""
+        return split(run, [self._filter(self.level.where("n > 1"), f"repeated={self.compactions}")], F.col("digest"))
+
+
+def split(rows: DataFrame, filters: list[tuple[DataFrame, int]], key: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key some of the filters may hold, and rows whose key none holds. Filters are broadcast: their size is bounded."""
+    held, at, bits = (unused(rows, x) for x in ("filter_held", "filter_word", "filter_bits"))
+    probed = rows.withColumn(held, F.lit(False))
+    for filt, words in filters:
+        word, bit = _place(words, key)
+        f = F.broadcast(filt.select(F.col("word").alias(at), F.col("bits").alias(bits)))
+        hit = F.col(held) | F.coalesce(bit.bitwiseAND(F.col(bits)) != 0, F.lit(False))
+        probed = probed.join(f, word == F.col(at), "left").withColumn(held, hit).drop(at, bits)
+    return probed.where(F.col(held)).drop(held), probed.where(~F.col(held)).drop(held)
 
 
 def filter_words(keys: int) -> int:
@@ -139,9 +165,10 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
     index = DigestIndex(spark, keep=keep)
     runs = index.flush(rows.select("id", F.unhex(digest(F.col("norm"))).alias("digest")))
     level = index.compact()
-    # Byte verification: texts of hits only, found by a bounded filter on identifiers and grouped whole.
     repeated = level.where("n > 1")
-    hits = runs.join(repeated, "digest").select("id")
+    maybe, alone = index.repeated(runs)  # most digests are one row's alone: those rows don't take part in any join
+    # Byte verification: texts of hits only, found by a bounded filter on identifiers and grouped whole.
+    hits = maybe.join(repeated, "digest").select("id")
     words = filter_words(repeated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     suspects = may_hold(raw, table(id_filter(hits, words)), words).withColumn("norm", normalised(F.col("text")))
@@ -149,11 +176,12 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
     texts = suspects.select(F.unhex(digest(F.col("norm"))).alias("digest"), "norm", "id").groupBy("digest", "norm").agg(pick("id").alias("keep_id"), F.count("*").alias("n"))
     distinct = texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
     collided = table(distinct)
-    out = runs.join(level, "digest")
+    out = maybe.join(level, "digest")
     if not collided.isEmpty():  # different texts under one digest: group those by their bytes
         apart = texts.join(collided, "digest", "left_semi")
         again = rows.select("id", F.unhex(digest(F.col("norm"))).alias("digest"), "norm").join(collided, "digest", "left_semi")
         out = out.join(collided, "digest", "left_anti").unionByName(again.join(apart, ["digest", "norm"]).select("digest", "id", "keep_id", "n"))
+    out = out.unionByName(alone.select("digest", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n")))
     return out.select(
         F.col("id").alias(id_col), F.lower(F.hex("digest")).alias("digest"), "keep_id", F.col("n").alias("group_size"),
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),

@@ -57,6 +57,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@lru_cache(4)
+def _at_least(n: int) -> np.ndarray:
+    return _mixed(np.arange(1, n + 1, dtype=np.uint64) * _POWER) | np.uint64(1)
+
+
+def _multipliers(n: int) -> np.ndarray:
+    """A multiplier for each place in a word, at least n of them. They are unrelated: powers of one number modulo 2^64 would
+    give some long words (of Thue and Morse, say) one hash, whatever the number."""
+    return _at_least(max(64, 1 << (n - 1).bit_length()))
+
+
 def _hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each run of bytes that aren't white space, and where it begins. Runs go on from block to block."""
     hashes, starts, carry, length = [], [], 0, 0  # of the run that the last block ended in: its sum so far and length
@@ -71,10 +82,12 @@ def _hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
         sizes = np.diff(np.append(first, len(at)))
-        powers = np.cumprod(np.full(int(sizes.max()), _POWER), dtype=np.uint64)
-        sums = np.add.reduceat(_RANDOM[part[at]] * powers[np.arange(len(at)) - np.repeat(first, sizes)], first)
+        place = np.arange(len(at)) - np.repeat(first, sizes)
+        if whole:
+            place[: sizes[0]] += length
+        sums = np.add.reduceat(_RANDOM[part[at]] * _multipliers(int(place.max()) + 1)[place], first)
         if whole:
-            sums[0] = np.uint64((carry + int(sums[0]) * pow(int(_POWER), length, 1 << 64)) % (1 << 64))
+            sums[0] += np.uint64(carry)
         starts.append(at[first[1 if whole else 0 :]] + k)
         open_ = at[-1] == len(part) - 1
         length = (int(sizes[-1]) + (length if whole and len(first) == 1 else 0)) if open_ else 0
