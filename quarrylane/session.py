@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +51,9 @@ def ship(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "quarrylane.zip")  # the driver serves it from here
-        with zipfile.PyZipFile(archive, "w") as out:
-            out.writepy(os.path.join(ROOT, "quarrylane"))
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:  # sources alone: nothing is compiled beside them
+            for source in sorted(Path(ROOT, "quarrylane").rglob("*.py")):
+                out.write(source, source.relative_to(ROOT))
         context.addPyFile(archive)
         _SHIPPED.add(context.applicationId)
     return spark
@@ -80,6 +83,15 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[SparkSession]:
+    """Within it results are taken; after it this application's tables in the shared folder are deleted."""
+    try:
+        yield spark
+    finally:
+        clear(spark)
+
+
 def table(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession

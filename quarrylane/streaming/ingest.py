@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,30 +31,55 @@ def _newest(rows_: DataFrame, key: str, order: list) -> DataFrame:
     return rows_.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_place = 1").drop("_place")
 
 
-def latest_versions(spark: SparkSession, store: str, key: str = "id") -> DataFrame | None:
-    """Each key's row from the newest batch that has it; None before the first batch."""
+def _stored(spark: SparkSession, store: str) -> DataFrame | None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return _newest(spark.read.parquet(store), key, [F.desc("version")]).drop("version")
+    return spark.read.parquet(store) if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path) else None
+
+
+def latest_versions(spark: SparkSession, store: str, key: str = "id") -> DataFrame | None:
+    """Each key's row from the batch that was written last; None before the first batch."""
+    rows_ = _stored(spark, store)
+    return None if rows_ is None else _newest(rows_, key, [F.desc("written"), F.desc("version")]).drop("stream", "version", "written")
 
 
 def upsert_into(store: str, key: str, transform: Callable[[DataFrame], DataFrame], order: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: each batch's rows, transformed, are added to the store; readers take each key's newest.
 
-    A batch writes its own changes alone, under its number, so that its cost follows the batch, not the store. Of rows of
-    a batch with one key that with the largest `order` stays, of ties the one with the largest hash of all columns:
-    a batch that is run again writes the same over what it wrote.
+    A batch writes its own changes alone, in a folder of its stream and its number, so that its cost follows the batch, not
+    the store, and streams share a store. Of rows of a batch with one key that with the largest `order` stays, of ties the
+    one with the largest hash of all columns: a batch that is run again writes the same over what it wrote.
     """
 
     def run(batch: DataFrame, number: int) -> None:
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"  # kept in the checkpoint
         changes = transform(batch)
         ties = F.xxhash64(*[F.col(c) for c in changes.columns]).desc()
-        _newest(changes, key, [F.desc(order), ties] if order else [ties]).write.mode("overwrite").parquet(f"{store}/version={number}")
+        newest = _newest(changes, key, [F.desc(order), ties] if order else [ties])
+        newest.withColumn("written", F.lit(time.time_ns())).write.mode("overwrite").parquet(f"{store}/stream={stream}/version={number}")
 
     return run
 
 
+def compact(spark: SparkSession, store: str, key: str = "id") -> int:
+    """Merge a store's batches into one that has each key's newest row; returns how many batches there were.
+
+    Rows keep the time they were written at: where it breaks off before the merged batches are deleted, readers see the same.
+    Not to be run beside a stream that writes a batch anew.
+    """
+    rows_ = _stored(spark, store)
+    if rows_ is None:
+        return 0
+    merged = [(r["stream"], r["version"]) for r in rows_.select("stream", "version").distinct().collect()]
+    number = max([v for s, v in merged if s == "merged"], default=-1) + 1
+    newest = _newest(rows_, key, [F.desc("written"), F.desc("version")]).drop("stream", "version")
+    newest.write.mode("overwrite").parquet(f"{store}/stream=merged/version={number}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for stream, version in merged:
+        path = jvm.org.apache.hadoop.fs.Path(f"{store}/stream={stream}/version={version}")
+        path.getFileSystem(conf).delete(path, True)
+    return len(merged)
+
+
 def drain(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Run a stream over all there is now, then stop."""
     started = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

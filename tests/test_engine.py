@@ -3,12 +3,14 @@
 import os
 import subprocess
 import sys
+import zipfile
 
 import pytest
 from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from quarrylane import session
 from quarrylane.operators import mutations as M
 from quarrylane.plans import quality, retrieval
 from quarrylane.session import clear, shared_dir
@@ -65,6 +67,40 @@ def test_stream_upserts_by_version_and_is_idempotent(spark):
     assert ingest.latest_versions(spark, f"{folder}/none") is None
 
 
+def test_streams_share_a_store_and_it_is_compacted(spark):
+    folder, schema = shared_dir(spark), "id long, stage string"
+    batch = ingest.upsert_into(f"{folder}/store", "id", lambda d: d)
+    for k, rows in enumerate(([(1, "a"), (2, "b")], [(9, "z"), (2, "later")])):  # two streams, whose batches have the same numbers
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in{k}/1")
+        ingest.drain(spark.readStream.schema(schema).parquet(f"{folder}/in{k}/*"), batch, f"{folder}/state{k}")
+    want = [(1, "a"), (2, "later"), (9, "z")]
+    latest = lambda: sorted(map(tuple, ingest.latest_versions(spark, f"{folder}/store").collect()))
+    assert latest() == want
+    assert ingest.compact(spark, f"{folder}/store") == 2 and latest() == want
+    assert ingest.compact(spark, f"{folder}/store") == 1 and latest() == want
+    assert ingest.compact(spark, f"{folder}/none") == 0
+
+
+def test_the_package_ships_from_a_folder_that_cannot_be_written(spark, monkeypatch, tmp_path):
+    def refuse(*_, **__):
+        raise OSError("Read-only file system")
+
+    monkeypatch.setattr("py_compile.compile", refuse)
+    monkeypatch.setattr(session, "_SHIPPED", set())
+    sent = []
+    monkeypatch.setattr(type(spark.sparkContext), "addPyFile", lambda self, path: sent.append(path))
+    session.ship(spark)
+    names = zipfile.ZipFile(sent[0]).namelist()
+    assert "quarrylane/session.py" in names and "quarrylane/plans/lexical.py" in names and all(n.endswith(".py") for n in names)
+
+
+def test_tables_are_cleared_after_use(spark):
+    with session.cleared(spark):
+        path = written(spark.range(3)).inputFiles()[0].removeprefix("file:").replace("///", "/")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 def test_latency_is_nearest_rank(spark):
     df = spark.createDataFrame([("m", x) for x in (5, 1, 3, 2, 4)] + [("one", 9)], "model string, ms long")
     got = {r.model: r for r in quality.latency(df, "ms", ["model"]).collect()}
