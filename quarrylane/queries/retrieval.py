@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylane.functions import numeric, text
-from quarrylane.operators import models
+from quarrylane.operators import models, recognition
 from quarrylane.operators.experience import experience
 from quarrylane.operators.profiles import profile
 from quarrylane.plans import retrieval
@@ -94,6 +94,25 @@ def u04(spark, sf):
     return models.anonymise(rows, "raw_text", F.array("person")).select("id", "anonymised")
 
 
+PLACES = ("Austin, TX", "Munich, Germany")
+
+
+@query("u04_spans", rf"""WITH s AS (SELECT id, 'PERSON' AS type, 1 AS start, length(c_name) AS size FROM resumes JOIN customer ON c_custkey = id WHERE id % 11 <> 0
+UNION ALL SELECT id, 'PLACE', instr(raw_text, p), length(p) FROM resumes, (SELECT unnest({list(PLACES)}) AS p) WHERE contains(raw_text, p)
+UNION ALL SELECT id, 'EMAIL_ADDRESS', instr(raw_text, v), length(v) FROM (SELECT id, raw_text, nullif(regexp_extract(raw_text, '{text.EMAIL}'), '') AS v FROM resumes) WHERE v IS NOT NULL
+UNION ALL SELECT id, 'PHONE_NUMBER', instr(raw_text, v), length(v) FROM (SELECT id, raw_text, nullif(regexp_extract(raw_text, '{text.PHONE}'), '') AS v FROM resumes) WHERE v IS NOT NULL)
+SELECT id, type, start - 1 AS start, start - 1 + size AS "end" FROM s""", ("resumes",))
+def u04_spans(spark, sf):
+    """Persons, places, addresses and numbers of all résumés, by a labeller fitted on a fifth of them, at most SAMPLE."""
+    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("person"))
+    rows = entity(spark, sf, "resumes").join(names, "id")
+    known = F.array(F.struct(F.lit("PERSON").alias("type"), "person"), *[F.struct(F.lit("PLACE").alias("type"), F.lit(p).alias("person")) for p in PLACES])
+    placed = F.transform(known, lambda k: F.struct(k["type"].alias("type"), (F.instr(F.col("raw_text"), k["person"]) - 1).alias("start"), (F.instr(F.col("raw_text"), k["person"]) - 1 + F.length(k["person"])).alias("end")))
+    labelled = rows.where("id % 5 = 0").select(F.col("raw_text").alias("text"), F.filter(placed, lambda s: s["start"] >= 0).alias("spans"))
+    found = recognition.recognised(rows.select("id", "raw_text"), "raw_text", recognition.fit(labelled))
+    return found.select("id", F.inline("spans")).select("id", "type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
 @query("u05_extract_profile")
 def u05(spark, sf):
     """Profiles from model output: what doesn't parse is marked."""
