@@ -8,6 +8,7 @@ from quarrylane.functions import numeric, text
 from quarrylane.operators.layout import overlapping_blocks
 from quarrylane.operators.mutations import skills_or_keywords
 from quarrylane.plans.retrieval import fuse, overlap_of_terms
+from quarrylane.plans.text_search import catalogue_matches
 from quarrylane.registry import query
 from quarrylane.sources.entities import entity, table
 
@@ -127,6 +128,13 @@ def j10(spark, sf):
     return entity(spark, sf, "resumes").select("id", F.array_join(text.skills(F.col("raw_text")), ",").alias("skills"))
 
 
+@query("j10_catalogue_table", f"SELECT id, array_to_string({_duck_skills('raw_text')}, ',') AS skills FROM resumes", ("resumes",))
+def j10_catalogue(spark, sf):
+    """The catalogue as a table, which may have any number of entries."""
+    catalogue = spark.createDataFrame([(s, i) for i, s in enumerate(text.SKILLS)], "entry string, place long")
+    return catalogue_matches(entity(spark, sf, "resumes").select("id", "raw_text"), catalogue, "raw_text").select("id", F.array_join("found", ",").alias("skills"))
+
+
 @query("j11_upsert_match", "SELECT s.id, s.stage, c.id IS NOT NULL AS found FROM (SELECT id * 2 AS id, stage FROM candidates) s LEFT JOIN candidates c ON c.id = s.id", C)
 def j11(spark, sf):
     rows = entity(spark, sf, "candidates")
