@@ -10,6 +10,7 @@ from quarrylane.plans import quality
 from quarrylane.plans.retrieval import fuse, lexical_index, lexical_scores
 from quarrylane.queries.joins import CHANNELS, duck_tokens, ranked
 from quarrylane.registry import query
+from quarrylane.session import table as written
 from quarrylane.sources.entities import entity, table
 
 C, J, A, U, R = ("candidates",), ("jobs",), ("applications",), ("audits",), ("resumes",)
@@ -51,7 +52,20 @@ def agg04(spark, sf):
 
 @query("agg05_latency_np", "SELECT model, round(avg(latency_ms), 6) AS mean_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms FROM audits GROUP BY model", U)
 def agg05(spark, sf):
-    return entity(spark, sf, "audits").groupBy("model").agg(F.round(F.avg("latency_ms"), 6).alias("mean_ms"), F.round(F.expr("percentile(latency_ms, 0.95)"), 6).alias("p95_ms"))
+    rows = entity(spark, sf, "audits").select("model", "latency_ms")
+    p95 = quality.percentile(rows, "latency_ms", ["model"], 0.95)
+    return rows.groupBy("model").agg(F.round(F.avg("latency_ms"), 6).alias("mean_ms")).join(p95.select("model", F.round("value", 6).alias("p95_ms")), "model")
+
+
+@query("agg05_stored_sketches", """WITH w AS (SELECT model, latency_ms, percent_rank() OVER (PARTITION BY model ORDER BY latency_ms) AS low, cume_dist() OVER (PARTITION BY model ORDER BY latency_ms) AS high FROM audits)
+SELECT model, count(*) AS n, true AS close FROM w GROUP BY model""", U)
+def agg05_sketches(spark, sf):
+    """Sketches by month, stored, merged by model: whether 0.95 is within 0.02 of the share of values up to the sketch's p95."""
+    rows = entity(spark, sf, "audits").select("model", "latency_ms", F.date_trunc("month", "evaluated_at").alias("month"))
+    stored = written(quality.sketches(rows, "latency_ms", ["model", "month"]))
+    p95 = quality.quantiles_of(stored, ["model"], {"p95": 0.95})
+    share = F.avg(F.when(F.col("latency_ms") <= F.col("p95"), 1.0).otherwise(0.0))
+    return rows.join(F.broadcast(p95), "model").groupBy("model").agg(F.count("*").alias("n"), (F.abs(share - 0.95) <= 0.02).alias("close"))  # a row for each model
 
 
 @query("agg06_latency_stats", """SELECT model, round(avg(latency_ms), 6) AS mean, round(quantile_cont(latency_ms, 0.5), 6) AS median, min(latency_ms) AS least, max(latency_ms) AS largest,

@@ -9,6 +9,7 @@ from quarrylane.registry import query
 from quarrylane.session import shared_dir
 from quarrylane.sources.entities import entity, table
 from quarrylane.streaming import ingest
+from quarrylane.streaming.tasks import task_stream
 
 STATES = ("READING", "PARSING", "SCRUBBING", "LLM", "PERSIST", "SUCCESS", "FAILURE")
 EVENT_STATE = "CASE event_type WHEN 'view' THEN 'READING' WHEN 'click' THEN 'PARSING' WHEN 'signup' THEN 'LLM' WHEN 'purchase' THEN 'SUCCESS' ELSE 'FAILURE' END"
@@ -45,6 +46,19 @@ def st02(spark, sf):
     return ingest.task_states(tasks(spark, sf))
 
 
+@query("st02_task_timers", f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS task, {EVENT_STATE} AS state, epoch_ms(ts) AS ms FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY CASE WHEN state IN ('SUCCESS', 'FAILURE') THEN 0 ELSE 1 END, CASE WHEN state IN ('SUCCESS', 'FAILURE') THEN ms ELSE -ms END, CASE WHEN state IN ('SUCCESS', 'FAILURE') THEN state END, state DESC) AS k FROM e),
+c AS (SELECT task, state, ms FROM r WHERE k = 1)
+SELECT task, state, 'event' AS cause FROM c UNION ALL SELECT task, 'TIMEOUT', 'timer' FROM c WHERE state NOT IN ('SUCCESS', 'FAILURE') AND ms + 300000 <= (SELECT max(ms) FROM e) - 10000""")
+def st02_timers(spark, sf):
+    """Users as tasks of a stream of events: what has ended first stays, what has had no event for 300 seconds is timed out by a timer."""
+    rows, folder = stream(spark, sf, "events")
+    events = rows.select(F.col("user_id").cast("string").alias("task"), F.expr(EVENT_STATE).alias("state"), F.col("ts").cast("timestamp").alias("at"))
+    changes = task_stream(events, kept=10 * 365 * 86400)  # none is cleared within the table's time
+    changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("task string, state string, cause string").parquet(f"{folder}/out")
+
+
 @query("st03_poll_status", f"""WITH {LATEST} SELECT task, CASE WHEN state IN ('SUCCESS', 'FAILURE') THEN state WHEN state = 'READING' THEN 'PENDING' ELSE 'PROGRESS' END AS status,
 CASE WHEN state = 'READING' THEN 'Task is queued and waiting for an available worker.' END AS message, CASE WHEN state IN ('PARSING', 'LLM') THEN {PROGRESS} END AS progress FROM t WHERE k = 1""")
 def st03(spark, sf):

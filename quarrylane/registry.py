@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
     return add
 
 
-for _module in ("sources", "filters", "projections", "joins", "aggregates", "ranking", "text", "numeric", "coercion", "retrieval", "terms", "mutations", "streams"):
+for _module in ("sources", "filters", "projections", "joins", "aggregates", "ranking", "text", "numeric", "coercion", "retrieval", "terms", "mutations", "streams", "indexes"):
     importlib.import_module(f"quarrylane.queries.{_module}")
 
 
