@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+#: The DNS namespace of version 5 UUIDs, as hexadecimal digits.
+DNS = uuid.NAMESPACE_DNS.hex
 
 #: For each field, the keys under which it may come, best first.
 ALIASES = {
@@ -104,16 +105,11 @@ def as_list(doc: Column, field: str) -> Column:
     return F.when(F.trim(doc).startswith("["), F.concat(F.lit(f'{{"{field}": '), doc, F.lit("}"))).otherwise(doc)
 
 
-@F.pandas_udf(StringType())
-def stable_uuid(value: pd.Series) -> pd.Series:
+def stable_uuid(value: Column) -> Column:
     """A UUID as it is, other text by version 5 in the DNS namespace, null for nothing."""
-
-    def one(x):
-        if not x:
-            return None
-        try:
-            return str(uuid.UUID(x))
-        except ValueError:
-            return str(uuid.uuid5(uuid.NAMESPACE_DNS, x))
-
-    return value.map(one)
+    plain = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "urn:|uuid:", ""), "^[{}]+|[{}]+$", ""), "-", ""))
+    named = F.sha1(F.concat(F.unhex(F.lit(DNS)), F.encode(value, "UTF-8")))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(named, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    named = F.concat(F.substring(named, 1, 12), F.lit("5"), F.substring(named, 14, 3), variant, F.substring(named, 18, 15))
+    digits = F.when(plain.rlike("^[0-9a-f]{32}$"), plain).otherwise(named)
+    return F.when(value != "", F.concat_ws("-", *[F.substring(digits, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))

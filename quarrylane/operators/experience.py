@@ -1,46 +1,68 @@
-"""Experience items of a résumé. They need where a match stands, which no built-in function tells."""
+"""Experience items of a résumé as column expressions: a window of text around each period, and what its lines say."""
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarrylane.functions.text import PERIOD
 
-#: Words by which a line is taken for a role or a company; what stands where nothing is found.
+#: Words by which a line is taken for a role or a company; what stands where nothing is found; how many
+#: periods count, how far around them is looked, and how long lines are; sentences made of skills.
 ROLE_WORDS = ("engineer", "developer", "architect", "lead", "manager", "designer", "scientist", "analyst")
 COMPANY_WORDS = ("inc", "corp", "technologies", "labs", "systems", "google", "meta", "amazon", "stripe", "uber", "apple", "microsoft", "co", "ltd")
 NO_COMPANY, CORE_COMPANY, NOW = "Technology Solutions", "Core Platform Engineering", "2022 — Present"
-_PERIOD = re.compile(PERIOD)
-ITEMS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("role", "company", "period", "description")]))
-
-
-def _has(line: str, words: tuple[str, ...]) -> bool:
-    low = line.lower()
-    return any(w in low for w in words)
-
-
-def items(text: str, headline: str, skills) -> list[dict]:
-    """Up to three items, by the year ranges; each looks for role and company 100 characters before to 200 behind."""
-    out = []
-    for m in list(_PERIOD.finditer(text))[:3]:
-        near = [x for x in map(str.strip, text[max(0, m.start() - 100) : m.end() + 200].split("\n")) if x]
-        short = [x for x in near if len(x) < 60]
-        roles = [x for x in short if _has(x, ROLE_WORDS)]
-        companies = [x for x in short if not _has(x, ROLE_WORDS) and _has(x, COMPANY_WORDS)]
-        long = [x for x in near if len(x) > 30 and not x.startswith("20") and "@" not in x]
-        made = f"Contributed to core development and platform engineering utilizing {', '.join(skills[:3])}."
-        out.append({
-            "role": roles[-1] if roles else headline, "company": companies[-1] if companies else NO_COMPANY, "period": m.group(),
-            "description": f"{long[0][:150]}..." if long else made,
-        })
-    made = f"Led development of scalable services and cloud infrastructure with {', '.join(skills[:4])}."
-    return out or [{"role": headline, "company": CORE_COMPANY, "period": NOW, "description": made}]
-
-
-@F.pandas_udf(ITEMS)
-def experience(text: pd.Series, headline: pd.Series, skills: pd.Series) -> pd.Series:
-    return pd.Series([items(t or "", h, list(s)) for t, h, s in zip(text, headline, skills, strict=True)])
+MOST, BEFORE, BEHIND, SHORT, LONG, SHOWN = 3, 100, 200, 60, 30, 150
+CONTRIBUTED = ("Contributed to core development and platform engineering utilizing ", 3)
+LED = ("Led development of scalable services and cloud infrastructure with ", 4)
+
+
+def _sentence(start: tuple[str, int], skills: Column) -> Column:
+    return F.concat(F.lit(start[0]), F.array_join(F.slice(skills, 1, start[1]), ", "), F.lit("."))
+
+
+def _has(line: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.lower(line).contains(w) for w in words])
+
+
+def windows(text: Column) -> Column:
+    """For the first periods of a text: the period, and the text from BEFORE characters before it to BEHIND behind it."""
+    periods = F.slice(F.regexp_extract_all(text, F.lit(PERIOD), F.lit(0)), 1, MOST)
+    between = F.split(text, PERIOD, MOST + 1)  # what stands before each of them
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<period:string,near:string>>").alias("out"))
+
+    def add(done: Column, x: Column) -> Column:
+        begin = done["at"] + F.length(x["0"])
+        end = begin + F.length(x["1"])
+        low = F.greatest(begin - BEFORE, F.lit(0))
+        one = F.struct(x["1"].alias("period"), F.substring(text, low + 1, end + BEHIND - low).alias("near"))
+        return F.struct(end.alias("at"), F.concat(done["out"], F.array(one)).alias("out"))
+
+    pairs = F.transform(periods, lambda p, i: F.struct(F.get(between, i).alias("0"), p.alias("1")))
+    return F.aggregate(pairs, start, add)["out"]
+
+
+def item(window: Column, headline: Column, skills: Column) -> Column:
+    """What the lines of a window say: the last that names a role, the last other that names a company, the first long one."""
+    lines = F.filter(F.transform(F.split(window["near"], "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    role = F.filter(lines, lambda x: (F.length(x) < SHORT) & _has(x, ROLE_WORDS))
+    company = F.filter(lines, lambda x: (F.length(x) < SHORT) & ~_has(x, ROLE_WORDS) & _has(x, COMPANY_WORDS))
+    told = F.filter(lines, lambda x: (F.length(x) > LONG) & ~x.startswith("20") & ~x.contains("@"))
+    last = lambda found: F.element_at(F.when(F.size(found) > 0, found), -1)
+    return F.struct(
+        F.coalesce(last(role), headline).alias("role"), F.coalesce(last(company), F.lit(NO_COMPANY)).alias("company"), window["period"].alias("period"),
+        F.coalesce(F.concat(F.substring(F.get(told, F.lit(0)), 1, SHOWN), F.lit("...")), _sentence(CONTRIBUTED, skills)).alias("description"),
+    )
+
+
+def experience(text: Column, headline: Column, skills: Column) -> Column:
+    """Up to three items (role, company, period, description), by the year ranges; one made of headline and skills without any.
+
+    A null text counts as empty.
+    """
+    text = F.coalesce(text, F.lit(""))
+    found = F.transform(windows(text), lambda w: item(w, headline, skills))
+    made = F.struct(headline.alias("role"), F.lit(CORE_COMPANY).alias("company"), F.lit(NOW).alias("period"), _sentence(LED, skills).alias("description"))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(made))

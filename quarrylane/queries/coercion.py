@@ -84,7 +84,8 @@ def c09(spark, sf):
     return docs(spark, sf).select("id", coercion.category(field("tier"), coercion.TIER).alias("tier"))
 
 
-@query("c10_uuid_normalise")
+@query("c10_uuid_normalise", f"""WITH h AS (SELECT id, CASE WHEN id % 9 > 0 THEN sha1(from_hex('{coercion.DNS}') || encode(concat('cand-', id))) END AS h FROM candidates)
+SELECT id, concat(h[1:8], '-', h[9:12], '-5', h[14:16], '-', ('89ab')[CAST(concat('0x', h[17]) AS INTEGER) % 4 + 1], h[18:20], '-', h[21:32]) AS uuid FROM h WHERE h IS NOT NULL UNION ALL SELECT id, NULL FROM h WHERE h IS NULL""", C)
 def c10(spark, sf):
     return entity(spark, sf, "candidates").select("id", coercion.stable_uuid(F.when(F.col("id") % 9 > 0, F.concat(F.lit("cand-"), F.col("id").cast("string")))).alias("uuid"))
 

@@ -59,10 +59,11 @@ def dml09_profile(spark, sf):
     """The whole profile of each résumé, experience items too."""
     raw = F.col("raw_text")
     rows = entity(spark, sf, "resumes").withColumns({"name": text.name(raw), "headline": text.headline(raw), "skills": text.skills(raw)})
+    rows = rows.withColumn("positions", F.size(experience(raw, F.col("headline"), F.col("skills"))))
     return rows.select(
         "id", "name", text.pseudonym(F.col("name")).alias("anonymized_name"), text.initials(F.col("name")).alias("avatar"), "headline", text.location(raw).alias("location"),
         text.linkedin(raw, F.col("name")).alias("linkedin"), text.education(raw).alias("education"), text.years_of_experience(raw).alias("years"), F.array_join("skills", ",").alias("skills"),
-        F.size(experience(raw, F.col("headline"), F.col("skills"))).alias("positions"),
+        "positions",
     )
 
 
@@ -87,7 +88,8 @@ def u03(spark, sf):
     return retrieval.model_scores(turns.join(first, "conv_id"), models.overlap_scorer).select("conv_id", "turn", F.round("raw_score", 6).alias("raw_score"))
 
 
-@query("u04_ner_anonymise")
+@query("u04_ner_anonymise", rf"""SELECT id, CASE WHEN trim(t) = '' THEN '' ELSE regexp_replace(regexp_replace(t, '{text.EMAIL}', '[EMAIL_ADDRESS]', 'g'), '{text.PHONE}', '[PHONE_NUMBER]', 'g') END AS anonymised
+FROM (SELECT id, replace(raw_text, c_name, '[CANDIDATE_NAME]') AS t FROM resumes JOIN customer ON c_custkey = id)""", ("resumes",))
 def u04(spark, sf):
     names = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("person"))
     rows = entity(spark, sf, "resumes").join(names, "id")

@@ -93,12 +93,14 @@ def src11(spark, sf):
     return spark.read.parquet(path).select("id", "qualification_tier", F.get("recommended_interview_questions", F.lit(0)).alias("question"), F.col("evaluated_on").cast("long").alias("year"))
 
 
-@query("src12_provision")
+PROVISIONED = {"candidates": "candidates", "job_postings": "jobs", "applications": "applications", "scoring_audits": "audits"}
+
+
+@query("src12_provision", " UNION ALL ".join(f"SELECT '{name}' AS table_name, {len(schemas.TABLES_DDL[name].split(', '))} AS columns, (SELECT count(*) FROM {own}) AS rows" for name, own in PROVISIONED.items()), tuple(PROVISIONED.values()))
 def src12(spark, sf):
     """Empty tables by the schemas, each read beside the rows that are there for it."""
-    names = {"candidates": "candidates", "job_postings": "jobs", "applications": "applications", "scoring_audits": "audits"}
     out = None
-    for name, own in names.items():
+    for name, own in PROVISIONED.items():
         path = shared_dir(spark)
         spark.createDataFrame([], schemas.table_schema(name)).write.parquet(path)
         columns = len(spark.read.parquet(path).columns)
@@ -142,7 +144,8 @@ def src16(spark, sf):
     return rows.select("id", "domain", F.array_join(F.array_distinct(F.array("a", "b")), ",").alias("skills"), F.concat(F.lit("Candidate "), "id", F.lit(" - "), "domain", F.lit(" Specialist with "), F.col("years").cast("string"), F.lit(" years experience. Core Technical Competencies: "), "a", F.lit(", "), "b", F.lit(".")).alias("text"))
 
 
-@query("src17_synth_pii")
+@query("src17_synth_pii", """WITH r AS (SELECT c_custkey AS resume_id, c_name, concat('user', c_custkey, '@mail.example.com') AS email FROM customer)
+SELECT resume_id, concat(c_name, chr(10), email) AS raw_text, 'name' AS pii_type, c_name AS pii_value FROM r UNION ALL SELECT resume_id, concat(c_name, chr(10), email), 'email', email FROM r""")
 def src17(spark, sf):
     """Résumés with the personal data that was put in, as pairs to look for."""
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("resume_id"), F.col("c_name").alias("name"), F.format_string("user%d@mail.example.com", "c_custkey").alias("email"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.functions import coercion, numeric, text
 from quarrylane.operators import layout, models
-from quarrylane.operators.experience import items
+from quarrylane.operators.experience import experience
 from quarrylane.plans import quality, retrieval
 
 
@@ -121,6 +121,9 @@ def test_categories_and_uuid(spark):
     assert one(spark, coercion.category(F.col("v"), coercion.TIER), v="Highly fitting") == "Strong Fit"
     assert one(spark, coercion.category(F.col("v"), coercion.TIER), v="Low Match") == "Low Match"
     assert one(spark, coercion.stable_uuid(F.col("v")), v="cand-1") == str(uuid.uuid5(uuid.NAMESPACE_DNS, "cand-1"))
+    for given_ in ("A9B1C2D3-e4f5-4a6b-8c7d-0123456789AB", "{a9b1c2d3e4f54a6b8c7d0123456789ab}", "urn:uuid:a9b1c2d3-e4f5-4a6b-8c7d-0123456789ab"):
+        assert one(spark, coercion.stable_uuid(F.col("v")), v=given_) == str(uuid.UUID(given_))
+    assert [one(spark, coercion.stable_uuid(F.col("v")), v=x) for x in ("é 1", "")] == [str(uuid.uuid5(uuid.NAMESPACE_DNS, "é 1")), None]
 
 
 def test_resume_fields(spark):
@@ -128,9 +131,22 @@ def test_resume_fields(spark):
     row = spark.createDataFrame([(raw,)], "t string").select(text.name(F.col("t")).alias("n"), text.headline(F.col("t")).alias("h"), text.email(F.col("t")).alias("e"), text.location(F.col("t")).alias("l"), text.skills(F.col("t")).alias("s"), text.years_of_experience(F.col("t")).alias("y"), text.redact(F.col("t")).alias("r")).first()
     assert (row.n, row.h, row.e, row.l, row.y) == ("Jane Doe", "Senior Data Engineer", "jane@x.org", "Austin, TX", 11.0)
     assert row.s == ["Go", "C", "Apache Spark"] and "[EMAIL_ADDRESS]" in row.r and "555" not in row.r
-    found = items(raw, "H", ["Go"])
-    assert found[0]["period"] == "2015 - Present" and found[0]["role"] == "H"
-    assert items("", "H", ["Go"])[0]["period"] == "2022 — Present"
+
+
+def test_experience_items(spark):
+    """Each period looks 100 characters back and 200 on; its lines tell role, company and what was done."""
+    first = "Harbour pilot\nQuay Technologies\n2001 - 2003\nwrote the berth planning tool that all pilots use"
+    far = "." * 250
+    raw = f"{first}\n{far}\n  Lead Analyst  \nBlue Labs\n2004 to 2009\n2010 is not described\n{far}\n2011—Present\n{far}\n2012 - 2013"
+    rows = [(1, raw), (2, ""), (3, None), (4, "2015 - Present")]
+    df = spark.createDataFrame(rows, "id int, t string").withColumn("skills", F.array(*[F.lit(x) for x in "abcdef"]))
+    got = {r.id: [tuple(x) for x in r.e] for r in df.select("id", experience(F.col("t"), F.lit("H"), F.col("skills")).alias("e")).collect()}
+    assert [x[2] for x in got[1]] == ["2001 - 2003", "2004 to 2009", "2011—Present"]  # three at most
+    assert got[1][0][:2] == ("H", "Quay Technologies") and got[1][0][3] == "wrote the berth planning tool that all pilots use..."
+    assert got[1][1][:2] == ("Lead Analyst", "Blue Labs") and got[1][1][3].endswith("...")
+    assert got[4] == [("H", "Technology Solutions", "2015 - Present", "Contributed to core development and platform engineering utilizing a, b, c.")]
+    made = [("H", "Core Platform Engineering", "2022 — Present", "Led development of scalable services and cloud infrastructure with a, b, c, d.")]
+    assert got[2] == got[3] == made
 
 
 @given(st.text(max_size=60))
