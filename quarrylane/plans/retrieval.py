@@ -28,14 +28,21 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFra
     each, so that a shuffle sees partitions x queries x k rows, not all pairs. More queries make more blocks, each a
     pass over the vectors; what is broadcast keeps its bound.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    found = [_nearest_of_block(vectors, queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), k) for i in range(blocks)]
-    return top(reduce(DataFrame.unionByName, found), k, [F.desc("score"), F.asc("doc_id")], ["query_id"])
+    return top(_in_blocks(vectors, queries, k), k, [F.desc("score"), F.asc("doc_id")], ["query_id"])
 
 
-def _nearest_of_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Each task's k best vectors for each of the queries."""
+def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """The cosine of each query with each vector (query_id, doc_id, score), where that is what is asked for."""
+    return _in_blocks(vectors, queries, None)
+
+
+def _in_blocks(vectors: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    return reduce(DataFrame.unionByName, [_scores_of_block(vectors, queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), k) for i in range(blocks)])
+
+
+def _scores_of_block(vectors: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
+    """Each task's k best vectors for each of the queries, or all."""
     rows = queries.where("vector is not null").select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).toPandas()
     dim = max(map(len, rows["vector"]), default=0)
     rows = rows[rows["vector"].map(len) == dim]
@@ -44,21 +51,27 @@ def _nearest_of_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFra
     size = np.linalg.norm(q, axis=1, keepdims=True)
     held = vectors.sparkSession.sparkContext.broadcast((ids, q / np.where(size == 0, 1, size)))
 
+    def out(ids: np.ndarray, best_id: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({"query_id": pa.array(np.repeat(ids, best.shape[1])), "doc_id": pa.array(best_id.reshape(-1)), "score": pa.array(best.reshape(-1))})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = held.value
         best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 1024 if k is not None else 64):
+                part = batch.slice(at, 1024 if k is not None else 64)
                 v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
                 norm = np.linalg.norm(v, axis=1)
-                score = np.round(q @ v.T / np.where(norm == 0, 1, norm), 9)
+                score = q @ v.T / np.where(norm == 0, 1, norm)
                 own = np.broadcast_to(part.column("doc_id").to_numpy(), score.shape)
-                best, best_id = np.concatenate([best, score], axis=1), np.concatenate([best_id, own], axis=1)
+                if k is None:
+                    yield out(ids, own, score)
+                    continue
+                best, best_id = np.concatenate([best, score.round(9)], axis=1), np.concatenate([best_id, own], axis=1)
                 order = np.lexsort((best_id, -best), axis=1)[:, :k]
                 best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
         if best.size:
-            yield pa.record_batch({"query_id": pa.array(np.repeat(ids, best.shape[1])), "doc_id": pa.array(best_id.reshape(-1)), "score": pa.array(best.reshape(-1))})
+            yield out(ids, best_id, best)
 
     sound = vectors.where(F.size("embedding") == dim) if len(ids) else vectors.limit(0)
     return sound.select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(run, "query_id long, doc_id long, score double")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from quarrylane.functions import numeric, text
 from quarrylane.operators.layout import overlapping_blocks
 from quarrylane.operators.mutations import skills_or_keywords
-from quarrylane.plans.retrieval import fuse, overlap_of_terms
+from quarrylane.plans.retrieval import dense_scores, fuse, overlap_of_terms
 from quarrylane.plans.text_search import catalogue_matches
 from quarrylane.registry import query
+from quarrylane.session import carried
 from quarrylane.sources.entities import entity, table
 
 C, J, A = ("candidates",), ("jobs",), ("applications",)
@@ -51,9 +52,10 @@ def j02(spark, sf):
 @query("j03_query_x_docs", """SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS score
 FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0""")
 def j03(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("n", numeric.norm(F.col("v")))
-    q = F.broadcast(rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("n").alias("qn")))  # the stated query set
-    return rows.crossJoin(q).select("query_id", F.col("vec_id").alias("doc_id"), (F.round(numeric.cosine(F.col("q"), F.col("v"), F.col("qn"), F.col("n")), 6) + 0.0).alias("score"))
+    """The stated query set against all vectors, in blocks of queries."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = rows.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return dense_scores(rows, asked).select("query_id", "doc_id", (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query("j04_term_postings", f"""WITH q AS (SELECT item_id, unnest(list_distinct({duck_tokens('text')})) AS term FROM benchmark),
@@ -157,7 +159,7 @@ AND (list_contains(string_split(c.skills_csv, ','), 'Git') OR list_has_any(strin
 def j13(spark, sf):
     j = entity(spark, sf, "jobs").where("id % 50 = 0").select(F.col("id").alias("query_id"), (F.col("id") % 5).alias("domain"), F.slice("skills", 1, 3).alias("wanted"))
     c = entity(spark, sf, "candidates").select(F.col("id").alias("doc_id"), (F.col("id") % 5).alias("domain"), "skills")
-    return c.join(F.broadcast(j), "domain").where(F.array_contains("skills", "Git") | F.arrays_overlap("skills", "wanted")).select("query_id", "doc_id")
+    return c.join(carried(j), "domain").where(F.array_contains("skills", "Git") | F.arrays_overlap("skills", "wanted")).select("query_id", "doc_id")
 
 
 @query("j14_key_word_default", "WITH k AS (SELECT id, list_filter(['Python', 'FastAPI', 'PostgreSQL', 'Kubernetes', 'AWS', 'React', 'TypeScript', 'Docker'], lambda w: contains(lower(job_description), lower(w))) AS f FROM jobs) SELECT id, array_to_string(CASE WHEN len(f) > 0 THEN f ELSE ['Python', 'FastAPI', 'PostgreSQL'] END, ',') AS skills FROM k", J)
