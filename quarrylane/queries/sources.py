@@ -34,7 +34,8 @@ def src02(spark, sf):
     return pages.select("page", layout.reading_order(F.col("blocks")).alias("text")).where("text <> ''")
 
 
-@query("src03_scan_pdf_deep")
+@query("src03_scan_pdf_deep", r"""SELECT page_id, '# ' || regexp_extract(html, '(?is)<title>(.*?)</title>', 1) || chr(10) || chr(10) ||
+trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS markdown FROM pages""")
 def src03(spark, sf):
     """Titles and paragraphs of pages as Markdown, by the stand-in decoder."""
     title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
