@@ -9,11 +9,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylane.functions import numeric, text
-from quarrylane.plans.lexical import LexicalIndex, extend_index, index_of, lexical_index, lexical_scores, lexical_search, open_index, postings_of, top
+from quarrylane.plans.lexical import LexicalIndex, extend_index, index_of, lexical_index, lexical_scores, lexical_search, open_index, postings_of, top  # noqa: F401 (offered here too)
 from quarrylane.session import carried, spread, table
 
 #: Queries that a vector search broadcasts at once.
