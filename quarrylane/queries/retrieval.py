@@ -13,6 +13,7 @@ from quarrylane.queries.aggregates import BM25
 from quarrylane.queries.joins import BLOCKS, DEFAULT_SKILLS, _duck_skills, blocks, duck_tokens
 from quarrylane.operators.layout import complex_pages
 from quarrylane.registry import query
+from quarrylane.session import spread
 from quarrylane.sources.entities import entity, table
 
 HYBRID = f"""{BM25}, br AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b),
@@ -58,7 +59,7 @@ def dml09(spark, sf):
 def dml09_profile(spark, sf):
     """The whole profile of each résumé, experience items too."""
     raw = F.col("raw_text")
-    rows = entity(spark, sf, "resumes").withColumns({"name": text.name(raw), "headline": text.headline(raw), "skills": text.skills(raw)})
+    rows = spread(entity(spark, sf, "resumes").select("id", "raw_text")).withColumns({"name": text.name(raw), "headline": text.headline(raw), "skills": text.skills(raw)})
     rows = rows.withColumn("positions", F.size(experience(raw, F.col("headline"), F.col("skills"))))
     return rows.select(
         "id", "name", text.pseudonym(F.col("name")).alias("anonymized_name"), text.initials(F.col("name")).alias("avatar"), "headline", text.location(raw).alias("location"),
@@ -110,8 +111,9 @@ def u04_spans(spark, sf):
     rows = entity(spark, sf, "resumes").join(names, "id")
     known = F.array(F.struct(F.lit("PERSON").alias("type"), "person"), *[F.struct(F.lit("PLACE").alias("type"), F.lit(p).alias("person")) for p in PLACES])
     placed = F.transform(known, lambda k: F.struct(k["type"].alias("type"), (F.instr(F.col("raw_text"), k["person"]) - 1).alias("start"), (F.instr(F.col("raw_text"), k["person"]) - 1 + F.length(k["person"])).alias("end")))
-    labelled = rows.where("id % 5 = 0").select(F.col("raw_text").alias("text"), F.filter(placed, lambda s: s["start"] >= 0).alias("spans"))
-    found = recognition.recognised(rows.select("id", "raw_text"), "raw_text", recognition.fit(labelled))
+    some = recognition.sampled(rows.where("id % 5 = 0"), "raw_text")
+    labelled = some.select(F.col("raw_text").alias("text"), F.filter(placed, lambda s: s["start"] >= 0).alias("spans"))
+    found = recognition.recognised(spread(rows.select("id", "raw_text")), "raw_text", recognition.fit(labelled))
     return found.select("id", F.inline("spans")).select("id", "type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
