@@ -47,14 +47,21 @@ def windows(text: Column) -> Column:
 def item(window: Column, headline: Column, skills: Column) -> Column:
     """What the lines of a window say: the last that names a role, the last other that names a company, the first long one."""
     lines = F.filter(F.transform(F.split(window["near"], "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    role = F.filter(lines, lambda x: (F.length(x) < SHORT) & _has(x, ROLE_WORDS))
-    company = F.filter(lines, lambda x: (F.length(x) < SHORT) & ~_has(x, ROLE_WORDS) & _has(x, COMPANY_WORDS))
-    told = F.filter(lines, lambda x: (F.length(x) > LONG) & ~x.startswith("20") & ~x.contains("@"))
-    last = lambda found: F.element_at(F.when(F.size(found) > 0, found), -1)
-    return F.struct(
-        F.coalesce(last(role), headline).alias("role"), F.coalesce(last(company), F.lit(NO_COMPANY)).alias("company"), window["period"].alias("period"),
-        F.coalesce(F.concat(F.substring(F.get(told, F.lit(0)), 1, SHOWN), F.lit("...")), _sentence(CONTRIBUTED, skills)).alias("description"),
+    none = F.struct(*[F.lit(None).cast("string").alias(x) for x in ("role", "company", "told")])
+
+    def read(done: Column, x: Column) -> Column:
+        """The lines one after the other, each looked at once."""
+        short, role = F.length(x) < SHORT, _has(x, ROLE_WORDS)
+        return F.struct(
+            F.when(short & role, x).otherwise(done["role"]).alias("role"), F.when(short & ~role & _has(x, COMPANY_WORDS), x).otherwise(done["company"]).alias("company"),
+            F.when(done["told"].isNull() & (F.length(x) > LONG) & ~x.startswith("20") & ~x.contains("@"), x).otherwise(done["told"]).alias("told"),
+        )
+
+    said = lambda s: F.struct(
+        F.coalesce(s["role"], headline).alias("role"), F.coalesce(s["company"], F.lit(NO_COMPANY)).alias("company"), window["period"].alias("period"),
+        F.coalesce(F.concat(F.substring(s["told"], 1, SHOWN), F.lit("...")), _sentence(CONTRIBUTED, skills)).alias("description"),
     )
+    return F.aggregate(lines, none, read, said)
 
 
 def experience(text: Column, headline: Column, skills: Column) -> Column:
@@ -63,6 +70,6 @@ def experience(text: Column, headline: Column, skills: Column) -> Column:
     A null text counts as empty.
     """
     text = F.coalesce(text, F.lit(""))
-    found = F.transform(windows(text), lambda w: item(w, headline, skills))
     made = F.struct(headline.alias("role"), F.lit(CORE_COMPANY).alias("company"), F.lit(NOW).alias("period"), _sentence(LED, skills).alias("description"))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(made))
+    items = lambda found: F.when(F.size(found) > 0, F.transform(found, lambda w: item(w, headline, skills))).otherwise(F.array(made))
+    return F.get(F.transform(F.array(windows(text)), items), F.lit(0))

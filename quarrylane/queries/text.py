@@ -9,6 +9,7 @@ from quarrylane.operators.experience import experience
 from quarrylane.queries.joins import DEFAULT_SKILLS, _duck_skills, duck_tokens
 from quarrylane.plans.text_search import contained
 from quarrylane.registry import query
+from quarrylane.session import spread
 from quarrylane.sources.entities import entity, table
 
 R, C = ("resumes",), ("candidates",)
@@ -84,8 +85,10 @@ def t10(spark, sf):
 
 @query("t11_extract_experience")
 def t11(spark, sf):
-    rows = resumes(spark, sf)
-    full = rows.select("id", F.explode(experience(F.col("raw_text"), text.headline(F.col("raw_text")), text.skills(F.col("raw_text")))).alias("e"))
+    raw = F.col("raw_text")
+    rows = spread(resumes(spark, sf).select("id", "raw_text"))
+    # There is always an item; with explode() a filter on their number would be inferred, and all be made twice.
+    full = rows.select("id", F.explode_outer(experience(raw, text.headline(raw), text.skills(raw))).alias("e"))
     return full.select("id", "e.role", "e.company", "e.period", "e.description")
 
 

@@ -59,3 +59,14 @@ def test_batches_write_their_changes_alone(spark):
     assert got == sorted(map(tuple, ingest.latest_versions(spark, store).collect()))
     assert got[0] == (1, 3, "c") and got[1][:2] == (2, 0)
     assert spark.read.parquet(f"{store}/stream=batch/version=1").count() == 1
+
+
+def test_experience_is_made_once_and_on_all_cores(spark):
+    import __spark_entry__ as entry
+
+    made = entry.queries()
+    for name in ("t11_extract_experience", "dml09_profile"):
+        plan = made[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" in plan, name
+    plan = made["t11_extract_experience"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (size(" not in plan  # an inferred filter would make all items a second time
