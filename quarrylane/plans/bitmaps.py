@@ -32,7 +32,13 @@ def build(df: DataFrame, id_col: str, values: dict[str, Column], path: str | Non
     number = F.col(id_col).cast("long")
     named = lambda k: lambda x: F.struct(F.lit(k).alias("key"), x.alias("value"))
     entries = F.flatten(F.array(*[F.transform(F.coalesce(v, F.array().cast("array<string>")), named(k)) for k, v in values.items()]))
-    rows = df.where(F.col(id_col).isNotNull()).select(F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("bit"), F.inline(entries)).where("value is not null")
+    # Rows of a bucket come together before their values are told apart: a task has a few buckets, whatever the number of rows, and
+    # no bitmap is made of a part of a bucket.
+    placed = df.where(F.col(id_col).isNotNull()).withColumn("bitmap_bucket", F.bitmap_bucket_number(number))
+    buckets = placed.agg(F.countDistinct("bitmap_bucket")).first()[0]
+    dealt = placed.repartition(max(1, buckets), "bitmap_bucket")
+    # With inline() a filter on the values' number would be inferred, for which all are made before, a second time.
+    rows = dealt.select(F.col("bitmap_bucket").alias("bucket"), F.bitmap_bit_position(number).alias("bit"), F.inline_outer(entries)).where("value is not null")
     return BitmapIndex(table(rows.groupBy("key", "value", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), path), id_col)
 
 

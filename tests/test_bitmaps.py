@@ -80,3 +80,12 @@ def test_odd_tables(spark):
     assert [r.id for r in B.containing(odd, B.trigram_index(odd, "id", ["name"]), "abcd", ["name"]).orderBy("id").collect()] == [5, 5, 1 << 40]
     with pytest.raises(ValueError, match="negative"):
         B.trigram_index(spark.createDataFrame([(-1, "a")], "id long, name string"), "id", ["name"])
+
+
+def test_trigrams_of_a_bucket_are_gathered_before_they_are_told_apart(spark):
+    """One shuffle, of rows and by buckets, with a partition for each bucket; a column called bucket is none of the index's business."""
+    rows = spark.range(5 * 32768).select("id", F.lit("7").alias("bucket"), F.concat(F.lit("abc"), (F.col("id") % 3).cast("string")).alias("t"))
+    index = B.trigram_index(rows, "id", ["t", "bucket"])
+    assert {r.n for r in index.bits.where("value = 'abc'").select(F.bitmap_count("bits").alias("n")).collect()} <= {32767, 32768, 1}
+    assert index.bits.where("value = 'abc'").select(F.sum(F.bitmap_count("bits"))).first()[0] == 5 * 32768
+    assert B.containing(rows, index, "BC1", ["t"]).count() == rows.where("id % 3 = 1").count()
