@@ -2,8 +2,7 @@
 
 Rules find what has a strict form (email, ip, card, phone): these spans always stay. Looser generators propose further
 spans, which may overlap: written-out addresses, numbers without their prefix or with other separators. Boosted trees
-judge them by form and surroundings. They learn from spans of a sample of documents: those that a rule confirms are
-true, as are the same spans rewritten in a loose form in their place. False are those that a test refutes (check digits,
+judge them by form and surroundings. They learn from the spans of all documents: those that a rule confirms are true, as are the same spans rewritten in a loose form in their place. False are those that a test refutes (check digits,
 numbers' ranges, the count of digits) and those before which nothing speaks for their kind; loose spans that the
 surroundings speak for, and written-out addresses, are left unlabelled. Calibrated thresholds, one for each kind, take
 what is precise enough.
@@ -13,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,13 +27,14 @@ from quarrylane.llm import boosting
 from quarrylane.llm.common import chunks, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the trees learn from, about (taken by a hash of their identifier), the precision asked for, and the
-#: least threshold.
-SAMPLE, PRECISION, LEAST = 6000, 0.98, 0.9
-#: The most examples of one document, evenly from all that it has.
+#: The precision asked for, and the least threshold.
+PRECISION, LEAST = 0.98, 0.9
+#: Examples that examples() shows of a text, about.
 PER_DOCUMENT = 64
-#: Candidates judged at once.
+#: Candidates judged at once, and distinct examples that a task holds.
 BATCH = 50_000
+#: Parts of one by which held-out scores are told apart, and the greatest score.
+STEPS, HIGHEST = 1024, 50
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -163,23 +165,28 @@ def spoken_for(text: str, kind: str, start: int, end: int) -> bool:
     return any(m.lastindex == own for m in _HINT.finditer(text[max(0, start - 32) : start])) or (kind == "email" and "@" not in text[start:end])
 
 
-def examples(text: str, most: int = PER_DOCUMENT) -> list[tuple[list[float], int]]:
-    """Labelled candidates of one text, at most about `most`."""
+def labelled(text: str) -> Iterator[tuple[str, str, int, int, int]]:
+    """All labelled candidates of one text (text, kind, start, end, 1 or 0), then its confirmed spans in a loose form."""
     rules = rule_spans(text)
-    true, out = set(rules), []
-    over = Intervals(rules)
+    true, over = set(rules), Intervals(rules)
     for k, a, b in candidates(text):
         if (k, a, b) in true:
-            out.append((text, k, a, b, 1))
+            yield text, k, a, b, 1
         elif over.free(a, b) and (refuted(k, text[a:b]) or not spoken_for(text, k, a, b)):
-            out.append((text, k, a, b, 0))
-    out = out[:: 1 + len(out) // most]
-    for pick, (k, a, b) in list(enumerate(rules))[:: 1 + len(rules) // most]:
+            yield text, k, a, b, 0
+    for pick, (k, a, b) in enumerate(rules):
         loose = loosened(k, text[a:b], pick + a)
         part = text[max(0, a - 40) : a] + loose + text[b : b + 40]
         at = min(a, 40)
-        out += [(part, kind, x, y, 1) for kind, x, y in candidates(part) if x <= at and y >= at + len(loose) - 1 and kind == k]
-    return [(features(*x), y) for *x, y in out]
+        for kind, x, y in candidates(part):
+            if x <= at and y >= at + len(loose) - 1 and kind == k:
+                yield part, kind, x, y, 1
+
+
+def examples(text: str, most: int | None = PER_DOCUMENT) -> list[tuple[list[float], int]]:
+    """Features and labels of one text's candidates, all or, to look at, about `most` evenly from them."""
+    found = list(labelled(text))
+    return [(features(*x), y) for *x, y in (found[:: 1 + len(found) // most] if most else found)]
 
 
 class Intervals:
@@ -234,31 +241,84 @@ class Detector:
         return sorted(rules, key=order), sorted([*rules, *self.added(text, rules)], key=order)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, precision: float = PRECISION, most: int = PER_DOCUMENT) -> Detector:
-    """Learn from about `sample` documents, those whose hashed identifier is lowest (all, if there are fewer).
+def learned_from(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Every labelled candidate of every document, equal ones together: rows (x binary: features as doubles, y int, held boolean, n long).
 
-    A document gives at most about `most` examples and as many rewritten ones. One example in three sets the calibration and the thresholds. Without examples of both kinds only the rules act.
+    Documents with one text in three, by its hash, are held out of the trees.
     """
-    n = docs.count()
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 30)) / float(1 << 30)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (texts,) in chunks(batches, "text"):
-            rows = [x for text in texts for x in examples(text, most)]
-            if rows:
-                yield pa.record_batch({"x": pa.array([x for x, _ in rows], pa.list_(pa.float64())), "y": pa.array([y for _, y in rows], pa.int32())})
-
-    picked = docs.where(draw < min(1.0, sample / max(n, 1))).select(F.col(text_col).alias("text"))
-    rows = table(picked.mapInArrow(run, "x array<double>, y int")).toPandas()
-    if not len(rows) or rows["y"].nunique() < 2:
+        seen: Counter[tuple[bytes, int, bool]] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            x, y, held = zip(*seen, strict=True)
+            return pa.record_batch({"x": pa.array(x, pa.binary()), "y": pa.array(y, pa.int32()), "held": pa.array(held, pa.bool_()), "n": pa.array(seen.values(), pa.int64())})
+
+        for held, texts in chunks(batches, "held", "text"):
+            for out, text in zip(held, texts, strict=True):
+                for *span, y in labelled(text):
+                    seen[array("d", features(*span)).tobytes(), y, out] += 1
+                    if len(seen) >= BATCH:
+                        yield flush()
+                        seen.clear()
+        if seen:
+            yield flush()
+
+    held = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(3)) == 1
+    rows = docs.select(held.alias("held"), F.col(text_col).alias("text")).mapInArrow(run, "x binary, y int, held boolean, n long")
+    return table(rows.groupBy("x", "y", "held").agg(F.sum("n").alias("n")))
+
+
+def _values(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float64).reshape(batch.num_rows, -1)
+
+
+def _edges(rows: DataFrame) -> list[np.ndarray]:
+    """Each feature's bins by all examples: features are counts within spans of bounded length, so that their values are few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, n = _values(batch), batch.column("n").to_numpy()
+                for j in range(x.shape[1]):
+                    value, own = np.unique(x[:, j], return_inverse=True)
+                    yield pa.record_batch({"j": pa.array(np.full(len(value), j, np.int32)), "value": pa.array(value), "n": pa.array(np.bincount(own, n).astype(np.int64))})
+
+    counts = rows.mapInArrow(run, "j int, value double, n long").groupBy("j", "value").agg(F.sum("n").alias("n")).toPandas().sort_values(["j", "value"])
+    return [boosting.quantiles(own["value"].to_numpy(), own["n"].to_numpy()) for _, own in counts.groupby("j")]
+
+
+def train(docs: DataFrame, text_col: str = "text", precision: float = PRECISION) -> Detector:
+    """Learn from all labelled candidates of all documents; the driver gets counts of values, histograms and counts of scores.
+
+    Texts that one in three has set the calibration and the thresholds. Without examples of both kinds only the rules act.
+    """
+    rows = learned_from(docs, text_col)
+    own = rows.where("not held")
+    edges = _edges(own)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                code = boosting.binned(_values(batch), edges)
+                yield pa.record_batch({"code": pa.array([c.tobytes() for c in code], pa.binary()), "y": batch.column("y"), "n": batch.column("n")})
+
+    forest = boosting.fit_table(own.mapInArrow(coded, "code binary, y int, n long"), edges) if edges else boosting.Forest(0.0)
+    if not forest.trees:
         return Detector(None, {})
-    x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy().astype(np.float64)
-    order = np.lexsort([*x.T, y])  # the same whatever the order of rows
-    x, y = x[order], y[order]
-    held = np.arange(len(y)) % 3 == 1
-    forest = boosting.calibrate(boosting.fit(x[~held], y[~held]), x[held], y[held])
-    p = forest.probability(x)
-    return Detector(forest, {kind: max(LEAST, boosting.threshold(p[own], y[own], precision)) if (own := held & (x[:, k] > 0)).any() else 1.01 for k, kind in enumerate(KINDS)})
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _values(batch)
+                step = np.floor(np.clip(forest.score(x), -HIGHEST, HIGHEST) * STEPS).astype(np.int32)
+                yield pa.record_batch({"kind": pa.array(x[:, : len(KINDS)].argmax(1).astype(np.int32)), "step": pa.array(step), "y": batch.column("y"), "n": batch.column("n")})
+
+    held = rows.where("held").mapInArrow(scored, "kind int, step int, y int, n long").groupBy("kind", "step", "y").agg(F.sum("n").alias("n"))
+    kind, step, y, n = held.orderBy("kind", "step", "y").toPandas().to_numpy(np.float64).T
+    forest = boosting.platt(forest, step / STEPS, y, n)
+    p = forest.calibrated(step / STEPS)  # of the least score of a step
+    return Detector(forest, {name: max(LEAST, boosting.threshold(p[at], y[at], precision, n[at])) if (at := kind == k).any() else 1.01 for k, name in enumerate(KINDS)})
 
 
 def _sha(spans: list[tuple[str, int, int]]) -> tuple[str, str]:

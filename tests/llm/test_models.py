@@ -169,6 +169,31 @@ def test_boosting_learns_and_is_calibrated():
     assert boosting.threshold(np.array([0.9, 0.8, 0.7]), np.array([1, 1, 0]), 1.0) == 0.8
 
 
+def test_op7_learns_from_every_candidate(spark):
+    """No document and no candidate of one is left out: not the 200 of one text, nor those of the last of 9,000 texts."""
+    many = "\n".join(f"mail user{k}@mail{k % 7}.example.com or call +1 555 010 {k + 1000}" for k in range(200))
+    texts = [many, *(f"code {k:016d} id" for k in range(8998)), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = sum(len(pii.examples(t or "", None)) for t in texts)
+    found = pii.learned_from(docs)
+    assert want > 8998 + 400 and found.agg({"n": "sum"}).first()[0] == want
+    assert found.count() < want and found.select("held").distinct().count() == 2
+
+
+def test_boosting_over_a_table(spark):
+    """A table gives the trees that its rows give in memory, whatever its partitions."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (3000, 4)).astype(float)
+    y = ((x[:, 0] > 4) ^ (x[:, 1] > 5) ^ (rng.random(3000) < 0.1)).astype(int)
+    edges = [boosting.quantiles(*np.unique(x[:, j], return_counts=True)) for j in range(4)]
+    code = boosting.binned(x, edges)
+    held = [(bytearray(c.tobytes()), int(v), 1) for c, v in zip(code, y, strict=True)]
+    rows_of = lambda n: spark.createDataFrame(held, "code binary, y int, n long").repartition(n)
+    one, five = (boosting.fit_table(rows_of(n), edges, rounds=20) for n in (1, 5))
+    assert len(one.trees) == 20 and np.array_equal(one.score(x), five.score(x))
+    assert np.abs(one.score(x) - boosting.fit(x, y.astype(float), rounds=20).score(x)).max() < 0.05
+
+
 def test_op1(spark, sf, texts):
     got = by_id(licenses.op1_license_scan(spark, sf))
     known = licenses.known()
