@@ -40,6 +40,8 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five-word shingles, 0.8 or more alike), the one with the smallest doc_id.
 
+    Operator 9's search proposes, MinHash bands beside it what four bits don't reach; exact similarity decides.
+
     Texts without words (null, empty, blank) are one group; null identifiers come last, of ties the first row stays.
     Texts are compared whole. An empty table stays empty; further columns stay.
     """

@@ -1,11 +1,12 @@
-"""Near copies by word shingles, for the pipeline: MinHash bands propose, exact shingle similarity decides.
+"""Near copies by word shingles, for the pipeline: operator 9 and MinHash bands propose, exact shingle similarity decides.
 
-Texts whose shingles have a similarity (intersection by union) of 0.8 or more are near copies. Fingerprints of 64 bits
-can't seek that far: at 0.8 they differ in about ten bits and often in seventeen, for which segments that differ in one
-bit at most would be seven bits long and held by most of a corpus. So texts with the same shingles are one first; the
-others meet under 20 bands of 5 minima (a pair of similarity J under at least one with probability 1 - (1 - J^5)^20,
-0.9996 at 0.8), and all that meet are compared exactly. Texts that no other meets are cleared by a bounded filter and
-stay where they are.
+Texts whose shingles have a similarity (intersection by union) of 0.8 or more are near copies. Texts with the same
+shingles are one first. Then operator 9's search links SimHash fingerprints of the others' shingles at four bits or
+fewer, and what it connects meets. Fingerprints of 64 bits can't seek as far as 0.8: there they differ in about ten bits
+and often in seventeen, for which segments that differ in one bit at most would be seven bits long and held by most of a
+corpus. So texts meet also under 20 bands of 5 minima (a pair of similarity J under at least one with probability
+1 - (1 - J^5)^20, 0.9996 at 0.8). All that meet are compared exactly. Texts that no other meets are cleared by a bounded
+filter and stay where they are.
 
 What bands connect meets as a whole, each text travelling once, unless it is too much for a task. Then pivots come
 first: the texts that lead its bands go to all its parts and are compared with every text, which travels once again.
@@ -24,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylane.llm import simhash
 from quarrylane.llm.common import chunks, components, table
 from quarrylane.llm.exact_dedup import filter_words, id_filter, may_hold
 from quarrylane.llm.language_model import _POWER, _mixed, sequences
@@ -86,8 +88,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.zeros(len(texts), np.int32)
         sizes[some] = BANDS
         whole = [xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        fps = np.array([simhash.majority(values[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], np.uint64).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(keys, pa.int64()))
-        yield pa.record_batch({"row": pa.array(rows, pa.int64()), "id": pa.array(ids, pa.int64()), "whole": pa.array(whole, pa.binary()), "shingles": pa.array(np.diff(starts), pa.int64()), "keys": lists})
+        yield pa.record_batch({"row": pa.array(rows, pa.int64()), "id": pa.array(ids, pa.int64()), "whole": pa.array(whole, pa.binary()), "shingles": pa.array(np.diff(starts), pa.int64()), "fp": pa.array(fps, pa.int64()), "keys": lists})
 
 
 def _alike(own: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarray:
@@ -220,6 +223,15 @@ def block_meetings(banded: DataFrame, known: DataFrame) -> DataFrame:
     return first.unionByName(second).select("key", F.lit(PLAIN).alias("part"), "node", "class")
 
 
+def fingerprint_keys(distinct: DataFrame) -> DataFrame:
+    """Keys (node, key) of texts of distinct (node, shingles, fp) that operator 9's links connect with others: one for each such group."""
+    prints = table(distinct.where("shingles > 0").groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")))
+    found = table(components(simhash.links(prints)))
+    # components() names every node that has a link; other fingerprints matter only where several texts have them.
+    named = prints.join(found, "node", "left").where("n > 1 or component is not null").select("fp", F.coalesce("component", "node").alias("component"))
+    return distinct.where("shingles > 0").join(carried(table(named)), "fp").select("node", F.xxhash64(F.lit("fingerprint"), "component").alias("key"))
+
+
 def near_copies(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """Rows (row, id, keep) of docs in groups of two or more; keep is the row of its group's smallest identifier.
 
@@ -228,9 +240,9 @@ def near_copies(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
     come last. Texts are read whole; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = table(rows.mapInArrow(_sketch, "row long, id long, whole binary, shingles long, keys array<long>"))
-    distinct = table(prints.groupBy("whole").agg(F.min("row").alias("node"), F.count("*").alias("rows"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys")))
-    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    prints = table(rows.mapInArrow(_sketch, "row long, id long, whole binary, shingles long, fp long, keys array<long>"))
+    distinct = table(prints.groupBy("whole").agg(F.min("row").alias("node"), F.count("*").alias("rows"), F.first("shingles").alias("shingles"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    keyed = distinct.select("node", F.explode("keys").alias("key")).unionByName(table(fingerprint_keys(distinct)))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
     # Bands with the same texts are one. Written first: then it is known whether the join below can do without a shuffle.
     once = table(shared.groupBy("n", "low", "members").agg(F.min("key").alias("key")).select("key", "n", "low"))

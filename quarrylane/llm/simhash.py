@@ -37,6 +37,11 @@ def fingerprint(text: bytes, width: int) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-width])).tolist()
     h = np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64, len(starts))
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of some 64-bit hashes have."""
     over = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):  # bounded memory for texts of any length
         over += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

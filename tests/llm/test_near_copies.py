@@ -49,6 +49,20 @@ def test_rows_are_told_apart(spark):
     assert sorted(r.doc_id for r in left) == [1, 2, 3, 5] and {r.text for r in left if r.doc_id == 2} == {docs[3][1]}
 
 
+def test_operator_9_proposes(spark):
+    """Texts within four bits meet by operator 9's search, whatever the bands; those that are far from all others don't."""
+    rng = np.random.default_rng(8)
+    docs = [t for pair in planted(rng, 40, 0.95, 1.0) for t in pair] + ["some other text " * 3, ""]
+    values, starts = near_copies.shingle_sets(docs)
+    sets = [values[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    fps = [near_copies.simhash.majority(s) for s in sets]
+    rows = [(k, len(s), int(np.array([f], np.uint64).view(np.int64)[0])) for k, (s, f) in enumerate(zip(sets, fps, strict=True))]
+    keys = {r.node: r.key for r in near_copies.fingerprint_keys(spark.createDataFrame(rows, "node long, shingles long, fp long")).collect()}
+    near = [k for k in range(0, 80, 2) if (fps[k] ^ fps[k + 1]).bit_count() <= 4]
+    assert len(near) > 25 and all(keys[k] == keys[k + 1] for k in near)
+    assert len(keys) == 2 * len(near) and len(set(keys.values())) == len(near)
+
+
 def test_sets_are_exact():
     texts = ["a b c d e f g", "A b C", "", "a b c d e a b c d e a b", "x"]
     values, starts = near_copies.shingle_sets(texts)
