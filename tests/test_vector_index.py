@@ -1,6 +1,9 @@
 """The vector index against exact search."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +91,20 @@ def test_given_vectors(spark):
     built = vector_index.build_index(vectors, shared_dir(spark), ["label"])
     asked = vectors.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
     assert recall(vector_index.nearest(built, asked, 10), retrieval.dense_search(vectors, asked, 10)) >= 0.95
+
+
+def test_exact_search_is_tiled():
+    """A task's memory doesn't grow with the queries of a block but for their best; a tile's border changes nothing."""
+    rng = np.random.default_rng(6)
+    v, q = rng.normal(size=(2100, 8)), rng.normal(size=(2000, 8))
+    v[7:9], q = 0, q / np.linalg.norm(q, axis=1, keepdims=True)
+    rows = pa.record_batch({"doc_id": pa.array(np.arange(2100)), "v": pa.array(v.tolist(), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    ((ids, best),) = retrieval.nearest_of(iter([rows.slice(0, 1500), rows.slice(1500)]), q, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    norm = np.linalg.norm(v, axis=1)
+    score = (q @ v.T / np.where(norm == 0, 1, norm)).round(9)
+    order = np.lexsort((np.broadcast_to(np.arange(2100), score.shape), -score), axis=1)[:, :5]
+    assert (ids == order).all() and np.abs(best - np.take_along_axis(score, order, 1)).max() < 1e-8
+    assert peak < 20 << 20  # one array of all the queries by 1,024 vectors has 16 MB, and six were held
