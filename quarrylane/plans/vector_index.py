@@ -31,6 +31,8 @@ TUNED, TUNED_ON, TUNED_K = 0.985, 400, 10
 BEAM, SCANNED = 96, 0.2
 #: Queries of one pass.
 QUERY_BLOCK = 4096
+#: Queries, or nodes to be linked, that a task compares with a shard at once.
+QUERIES = 256
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -73,10 +75,10 @@ def graph(v: np.ndarray, near: int = NEAR, far: int = FAR) -> np.ndarray:
         return out
     many = min(near, n - 1)
     nearest = np.zeros((n, many), np.int32)
-    for k in range(0, n, 1024):
-        sim = v[k : k + 1024] @ v.T
+    for k in range(0, n, QUERIES):
+        sim = v[k : k + QUERIES] @ v.T
         sim[np.arange(len(sim)), np.arange(k, k + len(sim))] = -np.inf
-        nearest[k : k + 1024] = np.argpartition(-sim, many - 1, axis=1)[:, :many]
+        nearest[k : k + QUERIES] = np.argpartition(-sim, many - 1, axis=1)[:, :many]
     out[:, :many] = nearest
     to, by = nearest.reshape(-1), np.repeat(np.arange(n), many)
     order = np.argsort(to, kind="stable")
@@ -285,7 +287,9 @@ def _block(index: VectorIndex, rows: DataFrame, asked: DataFrame, per_list: dict
                     continue
                 values = lambda name: batch.column(name)[r].values.to_numpy(zero_copy_only=False)  # noqa: E731, B023
                 v = values("vectors").reshape(-1, dim)
-                row, node, sim = walk(v, values("links").reshape(len(v), -1), values("passing"), q[who], k)
+                links, passing = values("links").reshape(len(v), -1), values("passing")
+                met = [(i, *walk(v, links, passing, q[who[i : i + QUERIES]], k)[:2]) for i in range(0, len(who), QUERIES)]
+                row, node = np.concatenate([i + r for i, r, _ in met]), np.concatenate([x for *_, x in met])
                 doc, who = values("ids")[node], who[row]
                 exact = np.einsum("nd,nd->n", v[node].astype(np.float64), q[who].astype(np.float64))
                 query, doc, sim = np.append(best[0], who), np.append(best[1], doc), np.append(best[2], exact)
