@@ -1,9 +1,12 @@
 """Tasks with timers: scripted events, and a stop in the middle."""
 
 import datetime as dt
+from unittest import mock
+
+import pandas as pd
 
 from quarrylane.session import shared_dir
-from quarrylane.streaming.tasks import task_stream
+from quarrylane.streaming.tasks import Tasks, task_stream
 
 START = dt.datetime(2026, 1, 5, 12, 0, 0)
 
@@ -46,3 +49,18 @@ def test_transitions_time_outs_and_clearing_after_restarts(spark):
 def test_a_timed_out_task_may_still_end(spark):
     got = run(spark, shared_dir(spark), [[("a", "READING", 0)], [("clock", "READING", 400)], [("clock", "READING", 401)], [("a", "SUCCESS", 410)]], 0)
     assert [x[1:] for x in got if x[0] == "a"] == [(0, "READING", "event"), (300, "TIMEOUT", "timer"), (410, "SUCCESS", "event")]
+
+
+def test_a_new_task_takes_few_trips_to_the_store():
+    """Each call of the handle or a state is a trip: their number doesn't grow with a task's events."""
+    handle, tasks = mock.MagicMock(), Tasks()
+    latest, history = mock.MagicMock(), mock.MagicMock()
+    latest.exists.return_value = False
+    handle.getValueState.return_value, handle.getListState.return_value = latest, history
+    tasks.init(handle)
+    for mocked in (handle, latest, history):
+        mocked.reset_mock()
+    rows = pd.DataFrame({"state": ["READING"] * 40, "at": [at(k) for k in range(40)]})
+    (row,) = tasks.handleInputRows(("a",), iter([rows[:10], rows[10:]]), None)
+    assert row["events"].tolist() == [40] and row["state"].tolist() == ["READING"] and len(history.appendList.call_args.args[0]) == 40
+    assert sum(len(x.method_calls) for x in (handle, latest, history)) == 4
