@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +10,33 @@ from quarrylane.llm import exact_dedup, language_id, near_copies, packing, pii
 from quarrylane.session import ship, table
 
 
+def _places(docs: DataFrame) -> DataFrame | None:
+    """Files that docs reads (path, file: their number by path), if it is just Parquet files, each read once; else None."""
+    if not docs._jdf.queryExecution().analyzed().children().isEmpty():
+        return None
+    try:
+        place = docs.metadataColumn("_metadata")
+        files = docs.groupBy(place["file_path"].alias("path")).agg(F.count("*").alias("n"), F.max(place["row_index"]).alias("last")).collect()
+    except AnalysisException:  # no files, or none whose rows have a place
+        return None
+    if not files or len(files) > 1 << 22 or any(f.n != f.last + 1 for f in files):
+        return None
+    return docs.sparkSession.createDataFrame([(path, k) for k, path in enumerate(sorted(f.path for f in files))], "path string, file long")
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number for each row, written so that numbers stay (identifiers may be null or repeated), in a column of that name."""
-    row = exact_dedup.unused(docs, "stage_row")
-    return table(docs.withColumn(row, F.monotonically_increasing_id())), row
+    """docs with a number for each row that stays (identifiers may be null or repeated), in a column of that name.
+
+    Rows of Parquet files have their file's number and their place in it, so that no text is written again; others are
+    written once with numbers of their own.
+    """
+    row, path, file, at = (exact_dedup.unused(docs, x) for x in ("stage_row", "stage_path", "stage_file", "stage_place"))
+    files = _places(docs)
+    if files is None:
+        return table(docs.withColumn(row, F.monotonically_increasing_id())), row
+    place = docs.metadataColumn("_metadata")
+    placed = docs.withColumns({path: place["file_path"], at: place["row_index"]}).join(F.broadcast(files.toDF(path, file)), path)
+    return placed.withColumn(row, F.call_function("shiftleft", F.col(file), F.lit(40)) + F.col(at)).drop(path, file, at), row
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylane.llm.common import chunks, components, table
+from quarrylane.session import carried
 
 #: Bits of each segment; together 64, and floor(4 / 3) = 1 bit may differ in the best of them.
 SEGMENTS = (22, 21, 21)
@@ -59,18 +60,39 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def variants(fps: np.ndarray) -> np.ndarray:
-    """For each fingerprint its 64 keys: segment bits with one struck out, tagged by the bit's place."""
-    out, low = [], 0
+def variant(fp: Column, bit: Column) -> Column:
+    """A fingerprint's key for one of its 64 bits: that bit's segment with the bit struck out, tagged by the bit's place."""
+    key, low = None, 0
     for size in SEGMENTS:
-        segment = (fps >> np.uint64(low)) & np.uint64((1 << size) - 1)
-        out += [(segment & np.uint64(~(1 << j) & ((1 << size) - 1))) | np.uint64((low + j) << 32) for j in range(size)]
+        segment = F.call_function("shiftrightunsigned", fp, F.lit(low)).bitwiseAND(F.lit((1 << size) - 1))
+        struck = segment.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), (bit - low).cast("int"))))
+        key = struck if key is None else F.when(bit < low, key).otherwise(struck)
         low += size
-    return np.stack(out, axis=1)
+    return key.bitwiseOR(F.call_function("shiftleft", bit.cast("long"), F.lit(32)))
 
 
-def _met(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) between nodes whose fingerprints share a key (keys sorted) and differ in few bits, as a spanning set."""
+def hot_variants(prints: DataFrame) -> DataFrame:
+    """Keys (key, n) that more than HOT of the distinct fingerprints (fp long) have, as a written table.
+
+    Two values of a segment have a key, those with and without the struck bit, so that one of them has more than half as many
+    fingerprints. Three values of each fingerprint are counted instead of its 64 keys; there are at most 2^23 values in all.
+    """
+    lows = np.cumsum((0, *SEGMENTS))[:-1].tolist()
+    cut = [F.struct(F.lit(k).alias("low"), F.call_function("shiftrightunsigned", "fp", F.lit(k)).bitwiseAND(F.lit((1 << n) - 1)).alias("value"), F.lit(n).alias("size")) for k, n in zip(lows, SEGMENTS, strict=True)]
+    each = prints.select(F.explode(F.array(*cut)).alias("s")).groupBy("s.low", "s.value", "s.size").agg(F.count("*").alias("n"))
+    counts = table(each)
+    heavy = counts.where(F.col("n") * 2 > HOT)
+    bits = heavy.select("low", "value", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("j"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j"))
+    without = bits.select("low", "j", F.col("value").bitwiseAND(F.bitwise_not(one)).alias("rest")).distinct()
+    both = without.select("low", "j", "rest", F.explode(F.array("rest", F.col("rest").bitwiseOR(one))).alias("value"))
+    key = F.col("rest").bitwiseOR(F.call_function("shiftleft", (F.col("low") + F.col("j")).cast("long"), F.lit(32)))
+    found = both.join(counts.select("low", "value", "n"), ["low", "value"]).groupBy(key.alias("key")).agg(F.sum("n").alias("n"))
+    return table(found.where(F.col("n") > HOT))
+
+
+def _met(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) between fingerprints that share a key (keys sorted) and differ in few bits, as a spanning set."""
     left, right = [], []
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.append(first, len(keys)))
@@ -80,10 +102,10 @@ def _met(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, distance: int) ->
         if not len(i):
             break
         i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= distance]
-        left.append(nodes[i])
-        right.append(nodes[i + step])
+        left.append(fps[i])
+        right.append(fps[i + step])
     for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        f, own = fps[at : at + n], nodes[at : at + n]
+        f = fps[at : at + n]
         rest = np.arange(n)
         while len(rest):  # breadth-first from the first that is left; each is visited once
             frontier, rest = [int(rest[0])], rest[1:]
@@ -92,19 +114,20 @@ def _met(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, distance: int) ->
                 near = np.bitwise_count(f[rest] ^ f[k]) <= distance
                 found = rest[near]
                 if len(found):
-                    left.append(np.full(len(found), own[k]))
-                    right.append(own[found])
+                    left.append(np.full(len(found), f[k]))
+                    right.append(f[found])
                     frontier += found.tolist()
                     rest = rest[~near]
-    none = np.zeros(0, np.int64)
+    none = np.zeros(0, np.uint64)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
 def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     """Links (src, dst) that connect distinct fingerprints (node long, fp long) at `distance` bits or fewer (at most 4).
 
-    Directly or through others, any two such nodes are connected by the result. A variant that more than HOT fingerprints
-    have is met in blocks, two by two, so that no task gets more than HOT of them.
+    Directly or through others, any two such nodes are connected by the result. A row that travels to a meeting is the
+    fingerprint and the bit that is struck out, from which its key is made on both sides; nodes are looked up for links alone.
+    A variant that more than HOT fingerprints have is met in blocks, two by two, so that no task gets more than HOT of them.
     """
     if not 0 <= distance <= 4:
         raise ValueError("the segments serve distances up to 4")
@@ -112,18 +135,18 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
-                fp = part.column("fp").to_numpy(zero_copy_only=False)
-                yield pa.record_batch({"key": pa.array(variants(fp.view(np.uint64)).reshape(-1).view(np.int64)), "node": pa.array(np.repeat(part.column("node").to_numpy(zero_copy_only=False), 64)), "fp": pa.array(np.repeat(fp, 64))})
+                fp = batch.slice(k, 4096).column("fp").to_numpy(zero_copy_only=False)
+                # Bit by bit: then bits, which repeat, compress well whatever the number of partitions.
+                yield pa.record_batch({"fp": pa.array(np.tile(fp, 64)), "bit": pa.array(np.repeat(np.arange(64, dtype=np.int32), len(fp)))})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
-            a, b = _met(t.column("key").to_numpy(), t.column("fp").to_numpy().view(np.uint64), t.column("node").to_numpy(), distance)
+            a, b = _met(t.column("key").to_numpy(), t.column("fp").to_numpy().view(np.uint64), distance)
             if len(a):
-                pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+                pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0).view(np.int64)
                 yield pa.record_batch({"src": pa.array(pair[:, 0]), "dst": pa.array(pair[:, 1])})
 
         for batch in batches:  # a key's rows may go on in the next batch: keep the last key's rows back
@@ -142,17 +165,27 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
         if held:
             yield from flush()
 
-    keyed = prints.select("node", "fp").mapInArrow(expand, "key long, node long, fp long")
-    if prints.count() > HOT:  # fewer can't share a variant more often
-        hot = table(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
-        if not hot.isEmpty():
-            blocks = F.coalesce(F.ceil(F.col("n") / (HOT // 2)), F.lit(1)).cast("int")
-            own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-            split = keyed.join(hot, "key", "left").withColumn("blocks", blocks).select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            # Meetings that share this hash by chance are one: more is compared, nothing is missed.
-            meeting = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-            keyed = split.select(F.when(F.col("n").isNull(), F.col("key")).otherwise(meeting).alias("key"), "node", "fp")
-    return keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(meet, "src long, dst long").distinct()
+    def linked(rows: DataFrame) -> DataFrame:
+        return rows.sortWithinPartitions("key").mapInArrow(meet, "src long, dst long")
+
+    keyed = prints.select("fp").mapInArrow(expand, "fp long, bit int")
+    key = variant(F.col("fp"), F.col("bit"))
+    hot = hot_variants(prints) if prints.count() > HOT else None  # fewer can't share a variant more often
+    if hot is None or hot.isEmpty():
+        found = linked(keyed.repartition(key).select(key.alias("key"), "fp"))
+    else:
+        named = keyed.select("fp", "bit", key.alias("key"))
+        cold = named.join(carried(hot), "key", "left_anti").select("fp", "bit")
+        blocks = F.ceil(F.col("n") / (HOT // 2)).cast("int")
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        split = named.join(carried(hot), "key").withColumn("blocks", blocks).select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        # Meetings that share this hash by chance are one: more is compared, nothing is missed.
+        meeting = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        found = linked(cold.repartition(key).select(key.alias("key"), "fp")).unionByName(linked(split.select(meeting.alias("key"), "fp").repartition(F.col("key"))))
+    pairs = found.distinct()
+    for end in ("src", "dst"):
+        pairs = pairs.withColumnRenamed(end, "fp").join(prints.select("fp", F.col("node").alias("own")), "fp").withColumnRenamed("own", end).drop("fp")
+    return pairs.select("src", "dst")
 
 
 def simhash_groups(docs: DataFrame, width: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

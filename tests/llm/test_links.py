@@ -86,6 +86,26 @@ def test_op9_hot_variants_are_met_in_blocks(spark, monkeypatch):
     assert [got.get(i, i) for i in range(len(fps))] == roots and len(set(roots)) < len(fps)
 
 
+def test_op9_hot_variants_are_told_by_values(spark, monkeypatch):
+    """Keys above HOT are found from counts of segment values; before, all 64 keys of every fingerprint were counted."""
+    rng = random.Random(9)
+    fps = sorted({rng.getrandbits(64) & (1 << 22) - 1 - (1 << rng.randrange(12)) | rng.choice((0, 5, 4)) << 43 | rng.choice((1, 3)) << 22 | rng.getrandbits(10) << 54 for _ in range(600)})
+    rows = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    low, want = 0, {}
+    for size in simhash.SEGMENTS:
+        for j in range(size):
+            for x in fps:
+                key = x >> low & (1 << size) - 1 & ~(1 << j) | low + j << 32
+                want[key] = want.get(key, 0) + 1
+        low += size
+    keys = rows.select(F.explode(F.array(*[simhash.variant(F.col("fp"), F.lit(k)) for k in range(64)])).alias("key"))
+    assert {r.key: r["count"] for r in keys.groupBy("key").count().collect()} == want
+    for most in (8, 100):
+        monkeypatch.setattr(simhash, "HOT", most)
+        got = {r.key: r.n for r in simhash.hot_variants(rows).collect()}
+        assert got == {k: n for k, n in want.items() if n > most} and got
+
+
 def test_near_copies_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(8)
     base = [f"w{x}" for x in rng.integers(0, 9999, 200)]

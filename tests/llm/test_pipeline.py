@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from quarrylane.llm import registry
+from quarrylane.llm import exact_dedup, near_copies, registry
 from quarrylane.session import table
 
 
@@ -40,3 +40,29 @@ def test_stages_take_anything(spark, sf, request, kind):
     for _, stage in corpus_pipeline.STAGES:
         docs = table(stage(spark, docs, sf))
     assert docs.count() > 0 if kind == "edge" else docs.count() == 0
+
+
+def test_stages_write_no_text_again(spark, sf, monkeypatch):
+    """Of Parquet files a row's place is its number: before, each of these stages wrote all texts with numbers first."""
+    written = []
+    for module in (corpus_pipeline, exact_dedup, near_copies):
+        monkeypatch.setattr(module, "table", lambda df, path=None: (written.append(df.columns), table(df, path))[1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for stage in (corpus_pipeline.unique, corpus_pipeline.dissimilar):
+        assert stage(spark, docs, sf).count() < docs.count()
+    assert written and not [columns for columns in written if {"text", "norm"} & set(columns)]
+
+
+def test_rows_of_files_are_numbered_by_place(spark, tmp_path):
+    names = ["stage_row", "stage_path", "stage_file", "stage_place", "_metadata"]
+    docs = spark.range(40).select("id", *[F.lit(7).alias(n) for n in names]).repartition(3)
+    docs.write.parquet(f"{tmp_path}/a")
+    once, twice = spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/a", f"{tmp_path}/a")
+    filtered, joined = once.where("id % 2 = 0"), once.join(spark.range(2).withColumnRenamed("id", "other"))
+    for frame, n in ((once, 40), (twice, twice.count()), (filtered, 20), (joined, 80), (docs, 40), (once.limit(0), 0)):
+        own, row = corpus_pipeline._numbered(frame)
+        got = own.collect()
+        assert own.columns == [*frame.columns, row] and len(got) == n == len({r[row] for r in got}) and all(r._metadata == 7 for r in got)
+    own, row = corpus_pipeline._numbered(once)
+    places = {r.id: r[row] for r in own.collect()}
+    assert places == {r.id: r[row] for r in own.repartition(5).collect()} and len({v >> 40 for v in places.values()}) == 3
