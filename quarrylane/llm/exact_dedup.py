@@ -77,12 +77,15 @@ class DigestIndex:
             self.merged, self.runs = [r[1:] for r in self.runs], []
         return self.level
 
+    def filters(self) -> list[tuple[DataFrame, int]]:
+        """The filters that hold all of the level's digests, each with its words: the level's own, or those of its runs."""
+        return [self.filter] if self.filter else self.merged
+
     def lookup(self, rows: DataFrame) -> DataFrame:
         """Rows (digest, ...) of a new batch whose digest the level has, with keep_id and n; the filter is asked before the join."""
         if self.level is None:
             return rows.join(self.compact(), "digest")
-        filters = [self.filter] if self.filter else self.merged
-        maybe, _ = split(rows, filters, F.col("digest"))
+        maybe, _ = split(rows, self.filters(), F.col("digest"))
         return maybe.join(self.level, "digest")
 
     def repeated(self, run: DataFrame) -> tuple[DataFrame, DataFrame]:
