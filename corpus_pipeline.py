@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,8 @@ def _places(docs: DataFrame) -> DataFrame | None:
         return None
     if not files or len(files) > 1 << 22 or any(f.n != f.last + 1 for f in files):
         return None
-    return docs.sparkSession.createDataFrame([(path, k) for k, path in enumerate(sorted(f.path for f in files))], "path string, file long")
+    paths = sorted(f.path for f in files)  # as an Arrow table: a list of rows would start Python workers of its own in each executor
+    return docs.sparkSession.createDataFrame(pa.table({"path": pa.array(paths, pa.string()), "file": pa.array(range(len(paths)), pa.int64())}))
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:

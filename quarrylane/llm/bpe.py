@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylane.llm.common import chunks
+from quarrylane.llm.common import MEMORIES, chunks
 from quarrylane.llm.pretoken import split
 
 #: Pre-tokens whose encoding a worker remembers, and the longest that it does; then it begins anew.
@@ -126,6 +126,9 @@ def packed_words(path: str) -> Memo:
     return Memo(lambda word: np.array(own.word(word), "<u4").tobytes())
 
 
+MEMORIES += [packed_words.cache_clear, codec.cache_clear]
+
+
 def encode_packed(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian 32-bit integers."""
     words, counts = split(texts)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +16,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Bytes of text that a task holds in decoded form at once (one longer text is held alone).
 CHUNK_CHARS = 2_000_000
+#: The same where other stages' models and the JVM want the executor's memory too: lists of words take thirty times the text.
+SMALL_CHARS = 250_000
+#: What empties each memory that a Python worker keeps for its next tasks.
+MEMORIES: list[Callable[[], None]] = []
 
 
 def ascii_lower(col: Column) -> Column:
@@ -26,7 +30,8 @@ def ascii_lower(col: Column) -> Column:
 def chunks(batches: Iterator[pa.RecordBatch], *columns: str, size: int = CHUNK_CHARS) -> Iterator[tuple[list, ...]]:
     """Column values of consecutive rows, about `size` bytes of the last column (text) at a time; null text becomes ''.
 
-    Until the last is taken, Python's cycle collector rests: it would walk the operators' large tables over and over.
+    Until the last is taken, Python's cycle collector rests: it would walk the operators' large tables over and over. Then
+    what is free goes back to the system: Spark keeps the worker for later stages, beside the JVM.
     """
     gc.disable()
     try:
@@ -41,6 +46,20 @@ def chunks(batches: Iterator[pa.RecordBatch], *columns: str, size: int = CHUNK_C
                     start, held = i, 0
     finally:
         gc.enable()
+        release()
+
+
+def release() -> None:
+    """Give memory that is free back to the system."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
+def forget() -> None:
+    """Empty what tasks of former stages left in this Python worker, which Spark keeps for later stages."""
+    for clear in MEMORIES:
+        clear()
+    release()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -69,4 +88,4 @@ def _star(links: DataFrame, emit) -> DataFrame:
     return table(emit(links.join(least, "u")).where("u <> v").distinct())
 
 
-__all__ = ["ascii_lower", "chunks", "components", "shared_dir", "table"]
+__all__ = ["ascii_lower", "chunks", "components", "forget", "shared_dir", "table"]

@@ -8,6 +8,7 @@ shuffle. A digest only proposes: hits are then compared by the bytes of their te
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ class DigestIndex:
     a number of its own, so that a job that dies leaves the former level in place.
     """
 
-    RUN, LEVEL = "digest binary, id long", "digest binary, keep_id long, n long"
+    RUN = "digest binary, id long"
+    #: What an index without rows has; as an Arrow table, since a list of rows would go through Python workers of its own.
+    EMPTY = pa.table({"digest": pa.array([], pa.binary()), "keep_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
 
     def __init__(self, spark: SparkSession, path: str | None = None, keep: str = "smallest"):
         if keep not in ("smallest", "largest"):
@@ -67,7 +70,7 @@ class DigestIndex:
         """
         if self.runs or self.level is None:
             pick = F.min if self.keep == "smallest" else F.max
-            merged = self.level if self.level is not None else self.spark.createDataFrame([], self.LEVEL)
+            merged = self.level if self.level is not None else self.spark.createDataFrame(self.EMPTY)
             for run, *_ in self.runs:
                 merged = merged.unionByName(run.select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n")))
             self.compactions += 1

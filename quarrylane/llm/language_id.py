@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylane.llm.common import chunks, table
+from quarrylane.llm.common import SMALL_CHARS, chunks, forget, table
 from quarrylane.llm.pretoken import LETTER, classes
 
 BITS = 16
@@ -238,10 +238,11 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 1.2, se
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own: Model | None = held.value
         for batch in batches:
             keep: list[bool] = []
-            for (texts,) in chunks(iter([batch]), text_col, size=1_000_000):
+            for (texts,) in chunks(iter([batch]), text_col, size=SMALL_CHARS):
                 if own is None:
                     keep += [False] * len(texts)
                 else:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.llm import simhash
-from quarrylane.llm.common import chunks, components, table
+from quarrylane.llm.common import SMALL_CHARS, chunks, components, forget, table
 from quarrylane.llm.exact_dedup import filter_words, id_filter, may_hold
 from quarrylane.llm.language_model import _POWER, _mixed, sequences
 from quarrylane.session import carried
@@ -81,7 +81,8 @@ def bands(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, ids, texts in chunks(batches, "row", "id", "text"):
+    forget()
+    for rows, ids, texts in chunks(batches, "row", "id", "text", size=SMALL_CHARS):
         values, starts = shingle_sets(texts)
         some = np.flatnonzero(np.diff(starts))
         keys = bands(values, np.append(starts[some], len(values))).reshape(-1) if len(some) else np.zeros(0, np.int64)
@@ -143,7 +144,7 @@ def _verify(least: float):
             left.extend(a)
             right.extend(b)
 
-        for keys, parts, own, groups, texts in chunks(batches, "key", "part", "node", "class", "text"):
+        for keys, parts, own, groups, texts in chunks(batches, "key", "part", "node", "class", "text", size=SMALL_CHARS):
             values, starts = shingle_sets(texts)
             for i, (k, part, node, group) in enumerate(zip(keys, parts, own, groups, strict=True)):
                 if k != key:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylane.llm.bpe import encode_packed, specials
-from quarrylane.llm.common import chunks, table
+from quarrylane.llm.common import SMALL_CHARS, chunks, table
 
 #: Open windows of a partition; the gap from which on an incoming text is cut to fill it; partitions merged together.
 OPEN, WORTH, FAN_IN = 16, 8, 16
@@ -123,7 +123,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, id_col: str = "doc_id", t
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        for keys, texts in chunks(batches, "id", "text"):
+        for keys, texts in chunks(batches, "id", "text", size=SMALL_CHARS):
             rows = [row for key, ids in zip(keys, _ids(texts, path), strict=True) for row in packer.add(key, ids)]
             if rows:
                 yield batch(rows)

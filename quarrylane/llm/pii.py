@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylane.llm import boosting
-from quarrylane.llm.common import chunks, table
+from quarrylane.llm.common import SMALL_CHARS, chunks, forget, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The precision asked for, and the least threshold.
@@ -360,11 +360,12 @@ def redact_table(docs: DataFrame, detector: Detector, text_col: str = "text") ->
     held = docs.sparkSession.sparkContext.broadcast(detector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own = held.value
         for batch in batches:
             k = batch.schema.get_field_index(text_col)
             clean = []
-            for (texts,) in chunks(iter([batch]), text_col):
+            for (texts,) in chunks(iter([batch]), text_col, size=SMALL_CHARS):
                 clean += [redact(t, own.spans(t)[1]) for t in texts]
             mask = batch.column(k).is_valid().to_pylist()
             yield batch.set_column(k, batch.schema.field(k), pa.array([x if ok else None for x, ok in zip(clean, mask, strict=True)], batch.schema.field(k).type))

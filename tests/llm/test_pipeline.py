@@ -1,9 +1,11 @@
 import corpus_pipeline
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from quarrylane.llm import exact_dedup, near_copies, registry
+from quarrylane.llm import bpe, exact_dedup, near_copies, registry
 from quarrylane.session import table
 
 
@@ -66,3 +68,23 @@ def test_rows_of_files_are_numbered_by_place(spark, tmp_path):
     own, row = corpus_pipeline._numbered(once)
     places = {r.id: r[row] for r in own.collect()}
     assert places == {r.id: r[row] for r in own.repartition(5).collect()} and len({v >> 40 for v in places.values()}) == 3
+
+
+def test_deduplication_starts_no_other_python_workers(spark, sf, monkeypatch):
+    """Rows from Python lists came through an RDD, for which each executor started a second Python daemon with two workers."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("rows went through Python workers"))
+    assert 0 < corpus_pipeline.unique(spark, docs, sf).count() < docs.count()
+    assert exact_dedup.DigestIndex(spark).compact().count() == 0
+
+
+def test_stages_forget_what_the_worker_remembers():
+    """A worker that had packed kept the vocabulary and 250,000 words through the other stages of the next table."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["One two three four five six.", "Seven"]
+    ids = list(bpe.encode_packed(texts, path))
+    assert bpe.packed_words.cache_info().currsize == bpe.codec.cache_info().currsize == 1
+    rows = pa.record_batch({"row": pa.array([0, 1]), "id": pa.array([0, 1]), "text": pa.array(texts)})
+    assert sum(b.num_rows for b in near_copies._sketch(iter([rows]))) == 2
+    assert bpe.packed_words.cache_info().currsize == bpe.codec.cache_info().currsize == 0
+    assert list(bpe.encode_packed(texts, path)) == ids
