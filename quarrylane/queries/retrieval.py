@@ -57,14 +57,14 @@ def dml09(spark, sf):
 
 @query("dml09_profile")
 def dml09_profile(spark, sf):
-    """The whole profile of each résumé, experience items too."""
+    """The whole profile of each résumé, with an experience item for each of its periods, as JSON."""
     raw = F.col("raw_text")
     rows = spread(entity(spark, sf, "resumes").select("id", "raw_text")).withColumns({"name": text.name(raw), "headline": text.headline(raw), "skills": text.skills(raw)})
-    rows = rows.withColumn("positions", F.size(experience(raw, F.col("headline"), F.col("skills"))))
+    rows = rows.withColumn("items", experience(raw, F.col("headline"), F.col("skills"), most=None))
     return rows.select(
         "id", "name", text.pseudonym(F.col("name")).alias("anonymized_name"), text.initials(F.col("name")).alias("avatar"), "headline", text.location(raw).alias("location"),
         text.linkedin(raw, F.col("name")).alias("linkedin"), text.education(raw).alias("education"), text.years_of_experience(raw).alias("years"), F.array_join("skills", ",").alias("skills"),
-        "positions",
+        F.size("items").alias("positions"), F.to_json("items").alias("experience"),
     )
 
 

@@ -88,7 +88,7 @@ def t11(spark, sf):
     raw = F.col("raw_text")
     rows = spread(resumes(spark, sf).select("id", "raw_text"))
     # There is always an item; with explode() a filter on their number would be inferred, and all be made twice.
-    full = rows.select("id", F.explode_outer(experience(raw, text.headline(raw), text.skills(raw))).alias("e"))
+    full = rows.select("id", F.explode_outer(experience(raw, text.headline(raw), text.skills(raw), most=None)).alias("e"))
     return full.select("id", "e.role", "e.company", "e.period", "e.description")
 
 

@@ -1,9 +1,12 @@
 """Whole profiles from model output, aliases, and upserts by batch."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
+from quarrylane.functions import text
+from quarrylane.operators.experience import MOST, experience, windows
 from quarrylane.operators.profiles import profile
 from quarrylane.session import shared_dir
 from quarrylane.sources import schemas
@@ -70,3 +73,33 @@ def test_experience_is_made_once_and_on_all_cores(spark):
         assert "Repartition" in plan, name
     plan = made["t11_extract_experience"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter (size(" not in plan  # an inferred filter would make all items a second time
+
+
+def test_profiles_have_an_item_for_each_period(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    for name in ("nation", "region"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    own = [f"{y} - {y + 1}" for y in range(2001, 2015, 2)]
+    customer = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").where("c_custkey in (1, 5)")  # 5 has no period of its own
+    customer.withColumn("c_name", F.lit("  ".join(own))).write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.id: r for r in entry.queries()["dml09_profile"](spark, str(tmp_path)).collect()}
+    assert [got[i].positions for i in (1, 5)] == [len(own) + 1, len(own)]
+    told = [tuple(x[k] for k in ("role", "company", "period", "description")) for x in json.loads(got[5].experience)]
+    assert [x[2] for x in told] == own and len(told) > MOST
+    rows = entry.queries()["t11_extract_experience"](spark, str(tmp_path)).where("id = 5").drop("id").collect()
+    assert sorted(map(tuple, rows)) == sorted(told)
+
+
+def test_windows_are_those_of_the_text(spark):
+    """Periods close together and far apart, at the ends, with characters of four bytes between them; more of them than a window has room for."""
+    near, far = "2001-2003", "😀" * 300
+    texts = ["", near, near * 50, f"{far}{near}", f"{near}{far}{near}x{near}", "20012003-20042005-2006", "\n".join(f"é{y} to present" for y in range(1990, 2020))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for most in (None, 2):
+        got = {r.id: [tuple(w) for w in r.w] for r in rows.select("id", windows(F.col("t"), most).alias("w")).collect()}
+        for i, t in enumerate(texts):
+            found = list(re.finditer(text.PERIOD, t))[:most]
+            assert got[i] == [(m.group(0), t[max(0, m.start() - 100) : m.end() + 200]) for m in found]
+    items = experience(F.col("t"), F.lit("H"), F.array(F.lit("a")), most=None)
+    assert [r.n for r in rows.orderBy("id").select(F.size(items).alias("n")).collect()] == [1, 1, 50, 1, 3, 2, 30]
